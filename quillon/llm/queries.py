@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import token_count
+from quillon.llm import secret_scan, token_count
 
 QUERIES = {
     "op2_token_count": token_count.query,
+    "op3_secret_scan": secret_scan.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": secret_scan.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
