@@ -254,8 +254,8 @@ ORACLE_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translat
     s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
         else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
     x as (select doc_id, len(s) as n, unnest(list_transform(s, lambda g: hash(g))) as g from s),
-    p as (select a.doc_id as a, b.doc_id as b, a.n as m, b.n as n, count(*) as both from x a join x b on a.g = b.g and a.doc_id < b.doc_id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by all),
-    l as (select a, b from p where 100 * both >= 80 * (m + n - both)),
+    p as (select a.doc_id as a, b.doc_id as b, a.n as m, b.n as n, count(*) as shared from x a join x b on a.g = b.g and a.doc_id < b.doc_id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by all),
+    l as (select a, b from p where 100 * shared >= 80 * (m + n - shared)),
     e as (select a, b from l union all select b, a from l),
     r as (select doc_id as a, doc_id as c from documents union select e.b as a, r.c from r join e on e.a = r.a),
     m as (select a, min(c) as c from r group by a)
