@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import best_fit_packing, near_dedup, secret_scan, token_count
+from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, secret_scan, token_count
 
 QUERIES = {
     "op2_token_count": token_count.query,
     "op3_secret_scan": secret_scan.query,
+    "op5_decontamination": decontaminate.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op9_minhash_near_dedup": near_dedup.query,
+    "op10_pii": pii.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secret_scan.oracle_sql(),
+    "op5_decontamination": decontaminate.ORACLE_SQL,
     "op9_minhash_near_dedup": near_dedup.ORACLE_SQL,
 }
