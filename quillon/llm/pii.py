@@ -101,6 +101,8 @@ CUES = (
     ("ip", "address", "host", "server", "client", "login"),
     ("version", "release", "v", "isbn", "order", "invoice", "ref", "reference", "page", "pages", "chapter", "section", "sku", "part", "serial", "model", "build", "published", "updated", "score", "article", "figure", "total", "price"),
 )
+#: common ends of mail addresses
+ENDS = frozenset("com org net edu gov io de fr es uk it nl eu info".split())
 _CUE_OF = {w: i for i, group in enumerate(CUES) for w in group}
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
@@ -145,6 +147,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(len(seps)),
         float("(" in s or "[" in s or "{" in s),
         float("dot" in s.lower() or kind != 4 and "." in s),
+        float(kind == 4 and re.split("[^a-z]+", s.lower())[-1] in ENDS),
         float(kind == 7 and _iban_ok(s)),
         float(kind == 9 and s.count(":") == 7),
         float(kind == 8 and any(1900 <= int(g) <= 2015 for g in re.findall("[0-9]{4}", s))),
