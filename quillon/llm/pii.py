@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _DIGIT = re.compile("[0-9]")
 _AT_WORD = re.compile(r"[(\[{ ]\s?(?:at|AT|At)\s?[)\]} ]")
 _GENERATORS = (
-    (4, re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,40}+ ?[(\[{ ]\s?(?:at|AT|At)\s?[)\]} ] ?[A-Za-z0-9-]{2,40}+(?: ?(?:[(\[{ ]\s?(?:dot|DOT|Dot)\s?[)\]} ]|\.) ?[A-Za-z]{2,12}+){1,3}+")),
+    (4, re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,40}+ ?[(\[{ ]\s?(?:at|AT|At)\s?[)\]} ] ?[A-Za-z0-9-]{2,40}+(?:(?: ?[(\[{ ]\s?(?:dot|DOT|Dot)\s?[)\]} ] ?|\.)[A-Za-z]{2,12}+){1,3}+")),
     (5, re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}+\)?(?:[ ./-]{1,2}+\(?[0-9]{2,5}+\)?){1,4}+(?![\w-])")),
     (6, re.compile(r"(?<![\w.+-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])")),
     (7, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}+(?!\w)")),

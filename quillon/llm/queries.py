@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, secret_scan, token_count
+from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, secret_scan, token_count, warc
 
 QUERIES = {
     "op2_token_count": token_count.query,
     "op3_secret_scan": secret_scan.query,
     "op5_decontamination": decontaminate.query,
+    "op6_warc": warc.query,
     "op7_best_fit_packing": best_fit_packing.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_pii": pii.query,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secret_scan.oracle_sql(),
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
     "op9_minhash_near_dedup": near_dedup.ORACLE_SQL,
 }
