@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import ALNUM, arrow_batches, blocks, grams, materialize, project, table, text_bytes, words
+from quillon.llm.common import ALNUM, arrow_batches, blocks, grams, materialize, project, table, text_bytes, text_key, words
 
 WINDOW, K = 10, 5
 BITS = 23
@@ -187,12 +187,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "t1", "t2")
 
 
-def text_key(column) -> tuple:
-    """Two 64-bit hashes that together stand for a text; a null has its own."""
-    text = F.col(column)
-    return F.xxhash64(text, text.isNull()), F.xxhash64(F.lit(7), text, text.isNull())
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, secret_scan, token_count, warc
+from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, quality, secret_scan, token_count, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op2_token_count": token_count.query,
     "op3_secret_scan": secret_scan.query,
     "op5_decontamination": decontaminate.query,
