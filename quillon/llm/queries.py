@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillon.llm import best_fit_packing, decontaminate, near_dedup, pii, quality, secret_scan, token_count, warc
+from quillon.llm import audio, best_fit_packing, decontaminate, license_scan, near_dedup, pii, quality, secret_scan, token_count, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_token_count": token_count.query,
     "op3_secret_scan": secret_scan.query,
+    "op4_license_scan": license_scan.query,
     "op5_decontamination": decontaminate.query,
     "op6_warc": warc.query,
     "op7_best_fit_packing": best_fit_packing.query,
+    "op8_audio_fingerprint": audio.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_pii": pii.query,
 }
