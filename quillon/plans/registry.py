@@ -1,4 +1,8 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from quillon.plans import driver_tables
+
+QUERIES = dict(driver_tables.QUERIES)
+ORACLE_SQL = dict(driver_tables.ORACLE_SQL)
