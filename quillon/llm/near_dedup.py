@@ -5,12 +5,14 @@
    keeps the least value. Ranks j are tried in turn for all elements at once; as soon as every slot
    holds less than j + 1, later ranks can't lower any and the loop stops.
 2. Texts with equal sets make a class; its smallest doc_id is its node. From here on only nodes count.
-3. Bands of ROWS slots give bucket keys. In each bucket every node is paired with the smallest, the
-   pivot. Pairs with a hopeless estimate (ESTIMATE of the slots equal, five standard deviations under
+3. Bands of ROWS slots give bucket keys. Every node is paired with the smallest node of each of its
+   buckets, the pivots: first with the least of them, then with those that it isn't connected to. Pairs with a hopeless estimate (ESTIMATE of the slots equal, five standard deviations under
    the threshold) are dropped, the others are verified on the full sets.
 4. The links' components are made. Where a bucket still holds nodes of several components besides its
-   pivot, all pairs of different components in it are tried, in blocks of bounded size, and verified
-   likewise. So no pair that shares a bucket is left out unless it is connected already.
+   pivot, all pairs of different components in it are estimated, in blocks of bounded size. Only a forest
+   that connects what they connect goes on; it makes clusters, in which, again in blocks, the likely pairs
+   of different components are verified. So no pair that shares a bucket is left out unless it is connected
+   already, and no table holds all pairs of a group.
 
 A pair at similarity 0.8 misses all of the 40 bands of 5 slots with probability 1.2e-7.
 
@@ -35,6 +37,8 @@ ESTIMATE = 0.65
 PERCENT = 80
 #: nodes of a bucket that are compared with one another at once
 SIDE = 256
+#: ids that are broadcast at most; more are joined by shuffling
+BROADCAST_IDS = 500_000
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
 _BAND_WEIGHTS = mix(np.arange(1, ROWS + 1, dtype=_U) * _U(_GOLDEN)) | _U(1)
@@ -141,75 +145,165 @@ def likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.mapInArrow(estimate, "a long, b long")
 
 
-def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
+def full_sets(spark: SparkSession, ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, members) of the ids (node): the hashes of a document's whole shingle set, in order; a row for each of its texts."""
+    ids = materialize(spark, ids.select(F.col("node").alias("doc_id")).distinct(), "need")
+    need = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = docs.join(need, "doc_id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
 
     def full(batches):
         for batch in batches:
             sets = [s.astype("<u8").tobytes() for s in _sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    sets = materialize(spark, texts.select("doc_id", "text").mapInArrow(full, "node long, members binary"), "sets")
+    return materialize(spark, texts.select("doc_id", "text").mapInArrow(full, "node long, members binary"), "sets")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union holds for two sets."""
+    few, many = sorted((len(x), len(y)))
+    if not few or 100 * few < percent * many:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (few + many - shared)
+
+
+def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) whose full sets are alike."""
+    sets = full_sets(spark, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, k)
     of = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b")
 
     def linked(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                few, many = sorted((len(x), len(y)))
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if 100 * few >= percent * many else 0
-                keep.append(shared > 0 and 100 * shared >= percent * (few + many - shared))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([alike(*(np.frombuffer(v.as_buffer(), "<u8") for v in two), percent) for two in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(linked, "a long, b long").distinct()
 
 
-def block_pairs(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Likely pairs of different labels in each bucket of members (bucket, node, label, n), compared block against block.
+class Merged(dict):
+    """Union-find over labels that a task holds together."""
 
-    A bucket of n nodes has ceil(n / SIDE) blocks by a hash of the node; a block meets each other block
-    of its bucket in one group, so no group holds more than about two blocks.
-    """
+    def root(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x, y) -> None:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+
+
+def _blocks_of(members: DataFrame, group: str) -> DataFrame:
+    """members (group, node, n, ...) in blocks: n nodes make ceil(n / SIDE) blocks by a hash of the node, and each two
+    blocks of a group, or one with itself, meet once as (group, lo, hi); so nothing holds more than about two blocks."""
     sides = F.ceil(F.col("n") / SIDE).cast("int")
     own = F.pmod(F.xxhash64("node"), sides).cast("int")
-    placed = members.join(signatures, "node").select("bucket", "node", "label", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), sides - 1)).alias("other"))
-    placed = placed.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "sig")
-    group = ["bucket", "lo", "hi"]
-    placed = placed.repartition(*group).sortWithinPartitions(*group)
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    placed = placed.select(F.col(group).alias("group"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "sig", *[c for c in ("members",) if c in members.columns])
+    return placed.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+
+
+def _meetings(batches):
+    """The rows of each (group, lo, hi) in turn, as columns own, node, label, sig and what follows."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != key:
+                if len(held) > 1:
+                    yield key, [*zip(*held)]
+                held, key = [], row[:3]
+            held.append(row[3:])
+    if len(held) > 1:
+        yield key, [*zip(*held)]
+
+
+def _likely_in(key, own, node, label, sig, *_):
+    """(i, places j > i) of the likely pairs of different labels in one meeting."""
+    own, node, label = np.array(own), np.array(node), np.array(label)
+    sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS)
+    same = key[1] == key[2]
+    for i in range(len(node) - 1):
+        j = np.flatnonzero((label[i + 1 :] != label[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= ESTIMATE * SLOTS]
+            if len(j):
+                yield i, j.tolist()
+
+
+def likely_forest(members: DataFrame) -> DataFrame:
+    """(a, b) that connect whatever the likely pairs of different labels in a bucket connect, and (a, a) for each node in such a pair.
+
+    members: (bucket, node, label, n, sig). Of a bucket's pairs only a forest goes on.
+    """
+
+    def compare(batches):
+        def rows():
+            for key, columns in _meetings(batches):
+                node, label, seen, merged = columns[1], columns[2], set(), Merged()
+                for i, others in _likely_in(key, *columns):
+                    for j in others:
+                        seen |= {node[i], node[j]}
+                        if merged.root(label[i]) != merged.root(label[j]):
+                            merged.join(label[i], label[j])
+                            yield node[i], node[j]
+                yield from ((x, x) for x in seen)
+
+        yield from arrow_batches(rows(), {"a": pa.int64(), "b": pa.int64()})
+
+    return _blocks_of(members, "bucket").mapInArrow(compare, "a long, b long").distinct()
+
+
+def verified_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links that connect whatever verified pairs of different labels in a cluster connect. members: (cluster, node, label, n, sig, members)."""
 
     def compare(batches):
-        held, key = [], None
-
-        def pairs():
-            own, node, label = (np.array([r[i] for r in held]) for i in (3, 4, 5))
-            sig = np.frombuffer(b"".join(r[6] for r in held), np.uint8).reshape(-1, SLOTS)
-            same = key[1] == key[2]
-            for i in range(len(held) - 1):
-                j = np.flatnonzero((label[i + 1 :] != label[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
-                if len(j):
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= ESTIMATE * SLOTS]
-                    yield from ((min(node[i], x), max(node[i], x)) for x in node[j])
-
-        def found():
-            nonlocal held, key
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if row[:3] != key:
-                        if len(held) > 1:
-                            yield from pairs()
-                        held, key = [], row[:3]
-                    held.append(row)
-            if len(held) > 1:
-                yield from pairs()
-
-        yield from arrow_batches(found(), {"a": pa.int64(), "b": pa.int64()})
-
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+        def rows():
+            for key, columns in _meetings(batches):
+                node, label, merged = columns[1], columns[2], Merged()
+                sets = [np.frombuffer(x, "<u8") for x in columns[4]]
+                for i, others in _likely_in(key, *columns):
+                    for j in others:
+                        if merged.root(label[i]) != merged.root(label[j]) and alike(sets[i], sets[j], percent):
+                            merged.join(label[i], label[j])
+                            yield node[i], node[j]
+
+        yield from arrow_batches(rows(), {"a": pa.int64(), "b": pa.int64()})
+
+    return _blocks_of(members, "cluster").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that labels (node, label) doesn't show as connected."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def _grown(spark: SparkSession, links: DataFrame | None, pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links so far with those that likely pairs verify, and their components."""
+    pairs = materialize(spark, likely(pairs, signatures), "pairs")
+    found = materialize(spark, verify(spark, pairs, docs, k, percent), "verified")
+    links = found if links is None else links.union(found)
+    return links, components(spark, links)
+
+
+def _completed(spark: SparkSession, links: DataFrame, labels: DataFrame, members: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """labels after all likely pairs of different labels that share a bucket were verified, in clusters of likely pairs."""
+    rest = members.where("n > 2 and node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("pivot")
+    rest = materialize(spark, rest, "rest")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    forest = materialize(spark, likely_forest(rest.join(mixed, "bucket").join(signatures, "node")), "forest")
+    if forest.isEmpty():
+        return labels
+    cluster = components(spark, links.union(forest)).withColumnRenamed("label", "cluster")
+    taking = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct().join(cluster, "node")
+    taking = taking.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    taking = materialize(spark, taking, "taking").join(taking.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    sets = full_sets(spark, taking.select("node"), docs, k)
+    more = materialize(spark, verified_in_blocks(taking.join(signatures, "node").join(sets, "node"), percent), "verified")
+    return labels if more.isEmpty() else components(spark, links.union(more))
 
 
 def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,20 +318,14 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = PERC
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = materialize(spark, placed.join(shared, "bucket"), "members")
 
-    pairs = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(spark, likely(pairs, signatures), "pairs")
-    links = materialize(spark, verify(spark, pairs, docs, k, percent), "verified")
-    labels = components(spark, links)
+    # each node with the least of its buckets' pivots, then with the others that it isn't connected to
+    pivots = members.where("node > pivot")
+    pairs = pivots.groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
+    links, labels = _grown(spark, None, pairs, signatures, docs, k, percent)
+    pairs = pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links, labels = _grown(spark, links, _apart(pairs, labels), signatures, docs, k, percent)
 
-    rest = members.where("n > 2 and node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("pivot")
-    rest = materialize(spark, rest, "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    more = materialize(spark, block_pairs(rest.join(mixed, "bucket"), signatures), "more")
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        more = materialize(spark, more, "untried")
-        links = links.union(materialize(spark, verify(spark, more, docs, k, percent), "verified"))
-        labels = components(spark, links)
+    labels = _completed(spark, links, labels, members, signatures, docs, k, percent)
 
     to = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
     own = rows.select("doc_id", "n_shingles", F.coalesce("key", F.col("rid").cast("string").cast("binary")).alias("key"))
