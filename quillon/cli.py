@@ -76,7 +76,7 @@ def run_profile(spark, args) -> None:
     found = profile(alignments.read_alignments(spark, args.input, args.reference), contigs, sinks, exclude, params)
     writers.write_json(found.summary, args.summary)
     if args.output:
-        alignments.write_bam(found.candidates, contigs, args.output)
+        alignments.write_bam(found.candidates, contigs, args.output, alignments.header_text(args.input))
     log.info("profile: %s", found.metrics.collect()[0].asDict() if log.isEnabledFor(logging.INFO) else "")
 
 

@@ -366,6 +366,19 @@ def contigs_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(found)], "tid int, name string, length long")
 
 
+def header_text(path: str) -> str:
+    """The header lines of a file."""
+    with _open(path) as file:
+        if file.read(2) == b"\x1f\x8b":
+            return read_header(Stream(Blocks(file, 0)))[0]
+        lines = []
+        for _, line in _lines(file, 0):
+            if not line.startswith(b"@"):
+                break
+            lines.append(line.decode() + "\n")
+        return "".join(lines)
+
+
 def read_alignments(spark: SparkSession, path: str, reference: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(AlignmentSource)
     options = {"splitBytes": str(split_bytes)} | ({"reference": reference} if reference is not None else {})
@@ -400,10 +413,14 @@ def encode(row) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(rows: DataFrame, contigs: DataFrame, path: str) -> None:
+def _made_header(named: list[tuple[str, int]]) -> str:
+    return "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in named)
+
+
+def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> None:
     """Rows of READS, in the order of contig, place and ord, as one BAM file; they stream through the driver."""
     named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
-    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in named)
+    text = _made_header(named) if header is None else header
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(named))
     for n, size in named:
         head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
@@ -427,11 +444,11 @@ def _flush(file, held: bytes) -> bytes:
     return b""
 
 
-def write_sam(rows: DataFrame, contigs: DataFrame, path: str) -> None:
+def write_sam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> None:
     named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
     name = lambda t: "*" if t < 0 else named[t][0]
     with open(path, "w") as file:
-        file.write("@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in named))
+        file.write(_made_header(named) if header is None else header)
         for r in rows.orderBy("tid", "pos", "file_id", "ord").toLocalIterator():
             known = r.qual is not None and len(r.qual) == len(r.seq or "") and r.seq and any(q != 255 for q in r.qual)
             qual = "".join(chr(q + 33) for q in r.qual) if known else "*"

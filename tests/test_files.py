@@ -53,6 +53,7 @@ def test_round_trip_in_splits(spark, some_reads, two_contigs, tmp_path, kind):
         if kind == "sam":  # an empty read has no qualities to tell
             rows = [(*r[:9], r[9], r[10]) for r in rows]
         assert rows == want
+    assert alignments.header_text(path) == "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:10000\n@SQ\tSN:chr2\tLN:20000\n"
     assert [tuple(r) for r in alignments.contigs_of(spark, path).collect()] == [(0, "chr1", 10000), (1, "chr2", 20000)]
 
 
@@ -76,6 +77,7 @@ def test_command_line(spark, tmp_path):
     assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("p.json"), "-o", at("c.bam")) == 0
     assert json.load(open(at("p.json"))) == [{"chrom": "chr1", "start": 3000, "end": 3155, "irr_count": 2, "motifs": {"AGC": 2}}]
     assert alignments.read_alignments(spark, at("c.bam")).count() == 2
+    assert alignments.header_text(at("c.bam")) == alignments.header_text(at("r.bam"))
     (tmp_path / "m.tsv").write_text(f"A\t{at('p.json')}\nB\t{at('p.json')}\n")
     (tmp_path / "d.tsv").write_text("A\t20\nB\t10\n")
     assert run("merge", "--manifest", at("m.tsv"), "--output", at("m.json"), "--depths", at("d.tsv")) == 0
