@@ -6,6 +6,7 @@ or one longer text, which bounds a Python worker's memory by a few dozen times t
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import AtomicType
 
 BLOCK_BYTES = 1 << 20
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -51,12 +54,28 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in frames:
+        for name in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, to be broadcast in a join if it has at most so many rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def salted(rows: DataFrame, few: DataFrame, salts: int, *key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on key with a column salt to join on as well.
+
+    Rows equal in key are spread by what their other plain columns hold; each share meets all of few.
+    """
+    others = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (*key, "text") and isinstance(f.dataType, AtomicType)]
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(0), *others), F.lit(salts)))
+    return spread, few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
 
 def text_key(column) -> tuple:
@@ -174,7 +193,3 @@ def arrow_batches(rows, columns: dict, size: int = 4096):
             kept = []
     if kept:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
-
-
-def drop_temporary(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import forget, materialize
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     both = links.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(spark, both.distinct(), "links")
     labels = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().select("node", F.col("node").alias("label"))
-    edges = first.where("a < b")
+    edges, old = first.where("a < b"), [first]
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         hooked = materialize(spark, ends.groupBy("u").agg(F.least("u", F.min("v")).alias("up")), "hooks")
@@ -30,7 +30,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         to_a = jumped.select(F.col("u").alias("a"), F.col("up").alias("pa"))
         to_b = jumped.select(F.col("u").alias("b"), F.col("up").alias("pb"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-        edges = materialize(spark, moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        fewer = materialize(spark, moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         to = jumped.select(F.col("u").alias("label"), F.col("up").alias("next"))
-        labels = materialize(spark, labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        moved_labels = materialize(spark, labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        forget(spark, hooked, jumped, *old)  # what follows reads none of them
+        edges, labels, old = fewer, moved_labels, [fewer, moved_labels]
     return labels

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import ALNUM, arrow_batches, blocks, grams, materialize, project, table, text_bytes, text_key, words
+from quillon.llm.common import ALNUM, arrow_batches, blocks, grams, materialize, project, small, table, text_bytes, text_key, words
 
 WINDOW, K = 10, 5
 BITS = 23
@@ -170,12 +170,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     items = project(items, item_id="item_id", text="text")
     kind = items.schema["item_id"].dataType.simpleString()
     known = materialize(spark, item_prints(items).distinct(), "item-prints")
-    n = known.count()
     lengths = sorted(r.length for r in known.select("length").distinct().collect())  # at most WINDOW
     rows = materialize(spark, document_prints(docs, lengths, bitmap(known)), "document-prints")
     mine = rows.select("rid", F.explode("prints").alias("p")).select("rid", "p.*")
-    theirs = known.withColumnRenamed("context", "other")
-    joined = mine.join(F.broadcast(theirs) if n <= BROADCAST_ROWS else theirs, ["length", "print"])
+    theirs = small(known.withColumnRenamed("context", "other"), BROADCAST_ROWS)
+    joined = mine.join(theirs, ["length", "print"])
     runs = extended(joined, kind).distinct()
     own = runs.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
 

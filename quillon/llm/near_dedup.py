@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import NOT_SPACE, arrow_batches, blocks, grams, materialize, mix, project, table, text_bytes, words
+from quillon.llm.common import NOT_SPACE, arrow_batches, blocks, grams, materialize, mix, project, small, table, text_bytes, words
 from quillon.llm.components import components
 
 SLOTS, ROWS = 200, 5
@@ -148,8 +148,7 @@ def likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def full_sets(spark: SparkSession, ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, members) of the ids (node): the hashes of a document's whole shingle set, in order; a row for each of its texts."""
     ids = materialize(spark, ids.select(F.col("node").alias("doc_id")).distinct(), "need")
-    need = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    texts = docs.join(need, "doc_id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
+    texts = docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
 
     def full(batches):
         for batch in batches:
