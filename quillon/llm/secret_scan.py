@@ -18,7 +18,7 @@ from re import _constants as C, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import project, table
+from quillon.llm.common import project, salted, table
 
 #: kind, expression, group whose length counts, least length. The first three are the base kinds.
 #: [0-9a-f]{16,} finds the runs of [0-9a-f]+ that have 16 characters or more.
@@ -34,6 +34,7 @@ RULES = (
 )
 BASE = 3
 MOST_STRINGS = 24
+SALTS = 16
 PLACE = "[SECRET]"
 
 
@@ -176,11 +177,12 @@ def _scanned(rows: DataFrame, rules) -> DataFrame:
     rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
     indexed = [bool(trigram_query(r[1]) - ANY) and ANY & trigram_query(r[1]) == set() for r in rules]
     hits = candidates(rows.select("key", "text"), rules)
-    rows = rows.join(hits.hint("shuffle_hash"), "key", "left")
+    rows, hits = salted(rows, hits, SALTS, "key")
+    rows = rows.join(hits.hint("shuffle_hash"), ["key", "salt"], "left")
     text, bits = F.col("text"), F.coalesce(F.col("rules"), F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     spans = [F.when(F.getbit(bits, F.lit(i)) == 1, _found(text, r, i)).otherwise(none) if indexed[i] else _found(text, r, i) for i, r in enumerate(rules)]
-    return rows.withColumn("spans", F.array_sort(F.concat(*spans))).drop("key", "rules")
+    return rows.withColumn("spans", F.array_sort(F.concat(*spans))).drop("key", "rules", "salt")
 
 
 def redact(docs: DataFrame, rules=RULES, text_col: str = "text", place: str = PLACE) -> DataFrame:
