@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,12 +20,14 @@ def ship(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(package)
-    target = os.path.join(tempfile.mkdtemp(prefix="quillon-"), "quillon_source.zip")
+    folder = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "quillon_source.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(package):
+        for inner, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inner, name)
                     archive.write(full, os.path.relpath(full, root))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
