@@ -29,7 +29,7 @@ from quillon.llm.common import arrow_batches, materialize, project, table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LENGTH, CLOSING_ID = 2048, 0
-OPEN_BINS, BLOCK_PIECES = 4096, 40_000
+OPEN_BINS, BLOCK_PIECES = 16_384, 40_000
 
 
 class Encoder:
@@ -156,7 +156,7 @@ def pack(found: DataFrame, length: int = LENGTH, most: int = OPEN_BINS, block: i
     """Rows of pieces(), with sequence_id and offset. found must be a stored table, since it is read twice."""
     n = max(1, math.ceil(found.count() / block))
     order = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
-    dealt = found.repartition(n).sortWithinPartitions(order, "doc_id", "piece")
+    dealt = found.repartition(n).sortWithinPartitions(F.desc("length"), order, "doc_id", "piece")
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def packed(batches):
