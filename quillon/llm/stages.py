@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import best_fit_packing, decontaminate, near_dedup, quality, secret_scan
-from quillon.llm.common import materialize, project, table, text_key
+from quillon.llm.common import materialize, project, salted, table, text_key
+
+SALTS = 16
 
 
 def _plain(docs: DataFrame, **keep: str) -> tuple[DataFrame, list[str]]:
@@ -31,8 +33,8 @@ def _without_texts(docs: DataFrame, bad: DataFrame, with_lang: bool = False) ->
     if with_lang:
         rows, key = rows.withColumn("key_lang", F.coalesce("lang", F.lit(""))), [*key, "key_lang"]
         bad = bad.withColumnRenamed("lang", "key_lang")
-    bad = bad.select(*key).distinct()
-    return rows.join(bad.hint("shuffle_hash"), key, "left_anti").select(*names).toDF(*docs.columns)
+    rows, bad = salted(rows, bad.select(*key).distinct(), SALTS, *key)
+    return rows.join(bad.hint("shuffle_hash"), [*key, "salt"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
