@@ -1,7 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Terms are words and numbers. A term's document frequency is counted over all files, for the templates'
-terms; a term that no template has weighs as much as one that no file has, so it only lowers a cosine.
+Terms are words and numbers, and a term's document frequency is counted over all files. The templates' terms
+are few and their frequencies go to every task, which gives each passage its product with the best template.
+The other terms only add to a passage's length: those of passages that could still reach the threshold, if
+they weighed the least a term can, are joined with the table of all terms' frequencies.
 A file's passages are its lines that name a licence, runs of comment lines (headers), and, for licence
 files, the whole text; the passage and template of the largest cosine decide, if it is THRESHOLD or more.
 A licence file also licenses its directory: a file without a licence of its own inherits that of the
@@ -22,9 +24,13 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import arrow_batches, materialize, project, table
+from quillon.llm.common import arrow_batches, materialize, project, salted, small, table
 
 THRESHOLD = 0.8
+#: terms that a task holds at most before it passes their counts on
+HELD_TERMS = 500_000
+#: terms of passages, and files with a licence, that are broadcast at most; more are joined by shuffling
+BROADCAST_TERMS = BROADCAST_FILES = 500_000
 # Notices of public licences, by their SPDX names.
 TEMPLATES = {
     "Apache-2.0": (
@@ -61,6 +67,8 @@ def terms(text: str) -> list[str]:
 
 _VECTORS = [(name, Counter(terms(t))) for name, group in sorted(TEMPLATES.items()) for t in group]
 VOCABULARY = sorted(set().union(*(v for _, v in _VECTORS)))
+_KNOWN = frozenset(VOCABULARY)
+_CANDIDATE = pa.struct({"place": pa.int32(), "name": pa.string(), "dot": pa.float64(), "square": pa.float64(), "terms": pa.list_(pa.string()), "counts": pa.list_(pa.int32())})
 
 
 def passages(text: str, whole: bool):
@@ -90,7 +98,7 @@ class Matcher:
 
     def __init__(self, files: int, frequency: dict[str, int]):
         self.most = self._weight(files, 0)
-        self.idf = {t: self._weight(files, frequency.get(t, 0)) for t in VOCABULARY}
+        self.idf = {t: self._weight(files, frequency.get(t, 0)) for t in _KNOWN.union(frequency)}
         self.templates = []
         for name, counts in _VECTORS:
             vector = {t: n * self.idf[t] for t, n in counts.items()}
@@ -100,15 +108,21 @@ class Matcher:
     def _weight(files: int, having: int) -> float:
         return math.log((1 + files) / (1 + having)) + 1
 
+    def weigh(self, passage: str) -> tuple[float, str, float, dict[str, int]]:
+        """The best template's dot product over its length, its name, the square of the length that the templates' terms give, and the other terms."""
+        counts = Counter(terms(passage))
+        vector = {t: n * self.idf[t] for t, n in counts.items() if t in _KNOWN}
+        dot, name = 0.0, ""
+        for other, template, length in self.templates:
+            product = sum(w * template[t] for t, w in vector.items() if t in template) / length
+            if product > dot + 1e-12:
+                dot, name = product, other
+        return dot, name, sum(w * w for w in vector.values()), {t: n for t, n in counts.items() if t not in _KNOWN}
+
     def best(self, passage: str) -> tuple[float, str]:
-        vector = {t: n * self.idf.get(t, self.most) for t, n in Counter(terms(passage)).items()}
-        size = math.sqrt(sum(w * w for w in vector.values()))
-        found = (0.0, "")
-        for name, template, length in self.templates:
-            dot = sum(w * vector[t] for t, w in template.items() if t in vector)
-            if size and dot / (size * length) > found[0] + 1e-12:
-                found = (dot / (size * length), name)
-        return found
+        dot, name, square, others = self.weigh(passage)
+        size = math.sqrt(square + sum((n * self.idf.get(t, self.most)) ** 2 for t, n in others.items()))
+        return (dot / size, name) if size and name else (0.0, "")
 
     def file(self, text: str, whole: bool) -> tuple[float, str]:
         found = (0.0, "")
@@ -117,22 +131,50 @@ class Matcher:
                 found = own
         return found
 
+    def candidates(self, text: str, whole: bool, threshold: float):
+        """(place, name, dot, square, other terms, their counts) of the passages that reach the threshold if other terms weigh 1, the least weight."""
+        for place, passage in enumerate(passages(text, whole)):
+            dot, name, square, others = self.weigh(passage)
+            if name and dot >= (threshold - 1e-9) * math.sqrt(square + sum(n * n for n in others.values())):
+                yield {"place": place, "name": name, "dot": dot, "square": square, "terms": list(others), "counts": list(others.values())}
+
 
-def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of files and how many have each of the templates' terms."""
+def term_counts(spark: SparkSession, files: DataFrame) -> tuple[int, DataFrame]:
+    """The number of files, and the table (term, n) of how many have each term."""
 
     def count(batches):
-        held, n, known = Counter(), 0, frozenset(VOCABULARY)
+        held, n = Counter(), 0
         for batch in batches:
             for text in batch.column(0):
                 n += 1
-                held.update(known.intersection(terms(text.as_py() or "")))
+                held.update(set(terms(text.as_py() or "")))
+                if len(held) > HELD_TERMS:
+                    yield from arrow_batches(held.items(), {"term": pa.string(), "n": pa.int64()})
+                    held.clear()
         held[""] = n
         yield from arrow_batches(held.items(), {"term": pa.string(), "n": pa.int64()})
 
-    rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the templates
-    found = {r.term: r.n for r in rows}
-    return found.pop("", 0), found
+    rows = materialize(spark, files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    return sum(r.n for r in rows.where("term = ''").collect()), rows.where("term <> ''")
+
+
+def similarities(spark: SparkSession, found: DataFrame, counts: DataFrame, n_files: int, threshold: float) -> DataFrame:
+    """(key, similarity, own) of the stored files (key, candidates) with a passage at the threshold."""
+    passage = found.select("key", F.explode("candidates").alias("c"))
+    term = passage.select("key", "c.place", F.explode(F.arrays_zip("c.terms", "c.counts")).alias("t")).select("key", "place", "t.terms", "t.counts").toDF("key", "place", "term", "times")
+    needed = materialize(spark, counts.join(term.select("term").distinct(), "term", "left_semi"), "needed-terms")
+    if needed.count() <= BROADCAST_TERMS:
+        met = term.join(F.broadcast(needed), "term", "left")
+    else:
+        term, needed = salted(term, needed, 16, "term")
+        met = term.join(needed, ["term", "salt"], "left")
+    weight = F.log((1.0 + n_files) / (1 + F.coalesce("n", F.lit(0)))) + 1
+    rest = met.groupBy("key", "place").agg(F.sum((F.col("times") * weight) ** 2).alias("rest"))
+    plain = passage.select("key", "c.place", "c.name", "c.dot", "c.square")
+    size = F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0)))
+    scored = plain.join(rest, ["key", "place"], "left").withColumn("similarity", F.col("dot") / size).where(F.col("similarity") >= threshold)
+    best = F.max_by(F.struct("similarity", "name"), F.struct(F.round("similarity", 12), -F.col("place"))).alias("b")
+    return scored.groupBy("key").agg(best).select("key", "b.similarity", F.col("b.name").alias("own"))
 
 
 def scan(spark: SparkSession, files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -141,17 +183,19 @@ def scan(spark: SparkSession, files: DataFrame, id_col: str = "doc_id", path_col
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
     files = files.select("id", "path", directory.alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_license"), "text")
     kind = files.schema["id"].dataType.simpleString()
-    matcher = Matcher(*term_counts(files))
+    n_files, counts = term_counts(spark, files)
+    known = counts.where(F.col("term").isin(VOCABULARY)).collect()  # a row for each term of the templates
+    matcher = Matcher(n_files, {r.term: r.n for r in known})
 
     def match(batches):
         for batch in batches:
-            found = [matcher.file(t.as_py() or "", w.as_py()) for w, t in zip(batch.column(3), batch.column(4))]
-            keep = [(s, n) if s >= threshold else (None, None) for s, n in found]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([s for s, _ in keep], pa.float64()), pa.array([n for _, n in keep], pa.string())], names=["id", "path", "dir", "is_license", "similarity", "own"]
-            )
+            found = [list(matcher.candidates(t.as_py() or "", w.as_py(), threshold)) for w, t in zip(batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(_CANDIDATE))], names=["id", "path", "dir", "is_license", "candidates"])
 
-    own = materialize(spark, files.mapInArrow(match, f"id {kind}, path string, dir string, is_license boolean, similarity double, own string"), "own-licenses")
+    kinds = f"id {kind}, path string, dir string, is_license boolean, candidates array<struct<place: int, name: string, dot: double, square: double, terms: array<string>, counts: array<int>>>"
+    found = materialize(spark, files.mapInArrow(match, kinds).withColumn("key", F.monotonically_increasing_id()), "candidates")
+    similar = materialize(spark, similarities(spark, found, counts, n_files, threshold), "similarities")
+    own = materialize(spark, found.drop("candidates").join(small(similar, BROADCAST_FILES), "key", "left").drop("key"), "own-licenses")
     best = own.where("is_license and own is not null and dir is not null").groupBy("dir", "own").agg(F.max("similarity").alias("s"))
     granted = best.groupBy("dir").agg(F.min_by("own", F.struct(-F.col("s"), F.col("own"))).alias("granted"))
     parts = F.split("dir", "/")

@@ -77,3 +77,19 @@ def test_inheritance(spark):
     got = sorted(((r.id, r.license, r.origin) for r in ls.scan(spark, frame).collect()), key=str)
     assert got == walk(files) and len({g[2] for g in got}) == 3
     assert ls.scan(spark, frame.limit(0)).count() == 0
+
+
+def test_common_words_around_a_notice(spark):
+    """Frequencies are those of all words, so common ones around a notice weigh little."""
+    notices = {"MIT": "Released under the MIT License.", "GPL-3.0": ls.TEMPLATES["GPL-3.0"][0], "CC-BY-NC-4.0": ls.TEMPLATES["CC-BY-NC-4.0"][0]}
+    files = [(i, f"d/{i}.txt", f"en und plain words number{i}") for i in range(300)]
+    files += [(1000 + i, f"d/{name}.txt", f"first\nen und {notice}\nlast") for i, (name, notice) in enumerate(notices.items())]
+    files += [(2000, "d/rare.txt", "quaint zebra unlike others under license"), (2001, "d/x.txt", "released en license " + "und " * 50)]
+    got = {r.id: r for r in ls.scan(spark, spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    frequency = Counter(t for _, _, x in files for t in set(ls.terms(x)))
+    m = ls.Matcher(len(files), frequency)
+    for i, path, text in files:
+        s, name = m.file(text, False)
+        assert got[i].license == (name if s >= ls.THRESHOLD else None)
+        assert got[i].similarity is None if s < ls.THRESHOLD else abs(got[i].similarity - s) < 1e-9
+    assert [got[1000 + i].license for i in range(3)] == list(notices) and got[1000].similarity > 0.9
