@@ -5,10 +5,12 @@ Every projection is written once for Spark and once, in ORACLE_SQL, for DuckDB.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions import sequence
-from quillon.functions.motif import with_motifs
+from quillon.functions.motif import consensus, with_motifs
 from quillon.functions.sampling import sample_size
 from quillon.operators import intervals, pairing
 from quillon.plans import merge as merge_plan
@@ -205,18 +207,38 @@ def canonical_unit(spark, sf):
     return _units(spark, sf).select("p_partkey", sequence.canonical_unit("unit").alias("canonical"))
 
 
+def _letters(spark, sf):
+    """All letters A, C, G and T of each document."""
+    return _table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+
+
 def match_frequency(spark, sf):
-    rows = _table(spark, sf, "documents").select("doc_id", F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 150).alias("seq"))
-    rows = rows.select("doc_id", "seq", F.explode(F.sequence(F.lit(2), F.lit(20))).alias("period"))
-    return rows.select("doc_id", F.col("period").cast("long").alias("period"), sequence.matches_at_offset("seq", F.col("period")).alias("matches"), sequence.match_frequency("seq", F.col("period")).alias("frequency"))
+    """Matches at each period of documents' letters; in numpy, as SQL reads a string from its start for each letter."""
+    periods = range(2, 21)
+
+    def count(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bases = np.frombuffer((seq.as_py() or "").encode(), np.uint8)
+                for period in periods:
+                    same = int((bases[:-period] == bases[period:]).sum()) if period <= len(bases) // 2 else 0
+                    rows.append((doc_id, period, same, same / (len(bases) - period) if same else 0.0))
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "period", "matches", "frequency"])
+
+    return _letters(spark, sf).mapInArrow(count, "doc_id long, period long, matches long, frequency double")
 
 
 def consensus_unit(spark, sf):
     """Majority letter at each phase of period 3 of documents' letters, the larger in a tie."""
-    rows = _table(spark, sf, "documents").select("doc_id", F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 150).alias("seq")).where("length(seq) >= 6")
-    letters = rows.select("doc_id", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''")
-    votes = letters.groupBy("doc_id", (F.col("i") % 3).alias("phase"), "base").agg(F.count("*").alias("n"))
-    return votes.groupBy("doc_id", "phase").agg(F.max(F.struct("n", "base"))["base"].alias("base")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("phase", "base"))), lambda s: s["base"]), "").alias("unit"))
+
+    def vote(batches):
+        for batch in batches:
+            units = [consensus(np.frombuffer(seq.as_py().encode(), np.uint8)[None], 3)[0].tobytes().decode() for seq in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.string())], names=["doc_id", "unit"])
+
+    return _letters(spark, sf).where("length(seq) >= 6").mapInArrow(vote, "doc_id long, unit string")
 
 
 def motif_candidates(spark, sf):
