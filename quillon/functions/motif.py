@@ -1,9 +1,9 @@
 """Tandem-repeat motifs of reads, vectorised over reads of equal length.
 
 For each period the share of letters that recur one period on is computed for all reads at once. Only
-reads with a share of at least MIN_FREQUENCY go on: their consensus units are voted for at once, reduced
-and made canonical (each distinct unit once), and scored for all reads that share a unit, rotation by
-rotation, leaving out a read as soon as it passes. A read's score for a motif is therefore that of the first
+reads with a share of at least MIN_FREQUENCY go on: their consensus units are voted for at once, the distinct
+ones are reduced and made canonical at once, and all reads with a motif of one length are scored at once,
+rotation by rotation, leaving out a read as soon as it passes. A read's score for a motif is therefore that of the first
 rotation that passes, which decides between motifs of one read as the definition asks.
 
 Letters other than A to Z, and '=', count as N; lower case as upper. Missing qualities count as high. A null
@@ -12,8 +12,6 @@ or empty read has no motif.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,15 +51,28 @@ def consensus(bases: np.ndarray, period: int) -> np.ndarray:
     return unit
 
 
-def _least_rotation(unit: bytes) -> bytes:
-    twice = unit + unit
-    return min((twice[i : i + len(unit)] for i in range(len(unit))), default=unit)
+def _strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of letters as strings of bytes, which numpy can compare."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0]
+
+
+def _least_rotations(units: np.ndarray) -> np.ndarray:
+    """The least rotation in byte order of each row."""
+    best = _strings(units)
+    for turn in range(1, units.shape[1]):
+        other = _strings(np.roll(units, -turn, axis=1))
+        best = np.where(other < best, other, best)
+    return best
+
+
+def canonicals(units: np.ndarray) -> np.ndarray:
+    """For each row of letters the lesser of the least rotations of it and of its reverse complement."""
+    own, other = _least_rotations(units), _least_rotations(_COMPLEMENT[units[:, ::-1]])
+    return np.where(other < own, other, own)
 
 
 def canonical(unit: bytes) -> bytes:
-    """The lesser of the least rotations of a unit and of its reverse complement."""
-    other = _COMPLEMENT[np.frombuffer(unit, np.uint8)][::-1].tobytes()
-    return min(_least_rotation(unit), _least_rotation(other))
+    return canonicals(np.frombuffer(unit, np.uint8)[None])[0] if unit else unit
 
 
 def perfect_period(unit: bytes, most: int = REDUCE_MAX, least: float = 1.0) -> int | None:
@@ -72,27 +83,38 @@ def perfect_period(unit: bytes, most: int = REDUCE_MAX, least: float = 1.0) -> i
     return -found[1] if found else None
 
 
-@lru_cache(maxsize=200_000)
-def motif_of(unit: bytes, shortest: int, longest: int) -> bytes | None:
-    """The canonical motif that a consensus unit stands for, None if its length is out of bounds or it is N."""
-    period = perfect_period(unit)
-    if period is not None and period != len(unit):
-        unit = consensus(np.frombuffer(unit, np.uint8)[None], period)[0].tobytes()
-    if not shortest <= len(unit) <= longest:
-        return None
-    found = canonical(unit)
-    return None if found in (b"", b"N") else found
+def _perfect_periods(units: np.ndarray, most: int = REDUCE_MAX) -> np.ndarray:
+    """The smallest period of 1..most at which all letters of a row recur, 0 if there is none."""
+    k, n = units.shape
+    found = np.zeros(k, np.int64)
+    for period in range(min(most, n // 2), 0, -1):
+        found[(units[:, :-period] == units[:, period:]).all(axis=1)] = period
+    return found
+
 
+def motifs_of(units: np.ndarray, shortest: int, longest: int) -> list[bytes | None]:
+    """The canonical motif that each consensus unit stands for, None if its length is out of bounds or it is N."""
+    found: list[bytes | None] = [None] * len(units)
+    periods = _perfect_periods(units)
+    for period in np.unique(periods).tolist():
+        size = period or units.shape[1]
+        if shortest <= size <= longest:
+            at = np.flatnonzero(periods == period)
+            reduced = consensus(units[at], period) if period else units[at]
+            for i, motif in zip(at.tolist(), canonicals(reduced).tolist()):
+                found[i] = None if motif in (b"", b"N") else motif
+    return found
 
-def _rotation_scores(bases: np.ndarray, low: np.ndarray, motif: bytes, enough: float) -> np.ndarray:
-    """Each row's best score over rotations in order, up to the first that is enough."""
+
+def _rotation_scores(bases: np.ndarray, low: np.ndarray, units: np.ndarray, enough: float) -> np.ndarray:
+    """Each row's best score over rotations, in order, of its own unit, up to the first that is enough."""
     k, n = bases.shape
-    miss = np.where(low, LOW_MISMATCH, MISMATCH)
-    best, rest = np.full(k, -np.inf), np.arange(k)
-    unit = np.frombuffer(motif, np.uint8)
-    for turn in range(len(unit)):
-        tiled = np.resize(np.roll(unit, -turn), n)
-        score = np.where(bases[rest] == tiled, MATCH, miss[rest]).sum(axis=1)
+    miss = np.where(low, np.float32(LOW_MISMATCH), np.float32(MISMATCH))  # sums of halves are exact
+    best, rest, place = np.full(k, -np.inf), np.arange(k), np.arange(n)
+    size = units.shape[1]
+    for turn in range(size):
+        tiled = units[rest][:, (place + turn) % size]
+        score = np.where(bases[rest] == tiled, np.float32(MATCH), miss[rest]).sum(axis=1, dtype=np.float64)
         best[rest] = np.maximum(best[rest], score)
         rest = rest[best[rest] < enough]
         if not len(rest):
@@ -110,20 +132,23 @@ def _equal_length(bases: np.ndarray, quals: np.ndarray, shortest: int, longest:
         rows = np.flatnonzero(frequency(bases, period) >= MIN_FREQUENCY)
         if not len(rows):
             continue
-        share: dict[bytes, list[int]] = {}
-        for row, unit in zip(rows.tolist(), consensus(bases[rows], period)):
-            motif = motif_of(unit.tobytes(), shortest, longest)
+        units, back = np.unique(_strings(consensus(bases[rows], period)), return_inverse=True)
+        named = motifs_of(units.view(np.uint8).reshape(-1, period), shortest, longest)
+        by_size: dict[int, list[tuple[int, bytes]]] = {}
+        for row, i in zip(rows.tolist(), back.tolist()):
+            motif = named[i]
             if motif is not None and motif not in tried[row]:
                 tried[row].add(motif)  # scored again it would fare the same
-                share.setdefault(motif, []).append(row)
-        for motif, mine in share.items():
-            at = np.array(mine)
-            score = _rotation_scores(bases[at], low[at], motif, enough)
-            back = np.flatnonzero(score < enough)
-            if len(back):
-                turned = _COMPLEMENT[bases[at[back], ::-1]]
-                score[back] = np.maximum(score[back], _rotation_scores(turned, low[at[back], ::-1], motif, enough))
-            for row, s in zip(mine, score / n):
+                by_size.setdefault(len(motif), []).append((row, motif))
+        for size, mine in by_size.items():
+            at = np.array([row for row, _ in mine])
+            turns = np.frombuffer(b"".join(motif for _, motif in mine), np.uint8).reshape(-1, size)
+            score = _rotation_scores(bases[at], low[at], turns, enough)
+            late = np.flatnonzero(score < enough)
+            if len(late):
+                turned = _COMPLEMENT[bases[at[late], ::-1]]
+                score[late] = np.maximum(score[late], _rotation_scores(turned, low[at[late], ::-1], turns[late], enough))
+            for (row, motif), s in zip(mine, score / n):
                 if s >= MIN_SCORE:
                     found[row].append((motif, float(s)))
     return found
@@ -160,16 +185,21 @@ def best_of(found: list[tuple[str, float]]) -> str | None:
 
 
 def motifs(seq: Column | str, qual: Column | str, shortest: int = 2, longest: int = 20) -> Column:
-    """struct(motifs, best) of reads, by an Arrow-batched UDF."""
+    """struct(motifs, best) of reads, by an Arrow-batched UDF.
+
+    It is marked as not deterministic, though it is, so that Spark runs it once where a filter and a
+    projection both use its result.
+    """
 
     @F.pandas_udf("motifs array<string>, best string")
     def of(seqs: pd.Series, quals: pd.Series) -> pd.DataFrame:
         found = detect([(s or "").encode("latin-1", "replace") for s in seqs], [None if q is None else bytes(q) for q in quals], shortest, longest)
         return pd.DataFrame({"motifs": [[m for m, _ in f] for f in found], "best": [best_of(f) for f in found]})
 
-    return of(seq, qual)
+    return of.asNondeterministic()(seq, qual)
 
 
 def with_motifs(reads: DataFrame, shortest: int = 2, longest: int = 20) -> DataFrame:
     """reads (seq, qual, ...) with motifs, of which there may be none, and best."""
-    return reads.withColumn("_found", motifs("seq", "qual", shortest, longest)).withColumn("motifs", F.col("_found.motifs")).withColumn("best", F.col("_found.best")).drop("_found")
+    found = reads.withColumn("_found", motifs("seq", "qual", shortest, longest))
+    return found.select(*reads.columns, "_found.motifs", "_found.best")

@@ -37,7 +37,8 @@ def test_smallest_period(text, want):
 def test_consensus_and_canonical():
     assert m.consensus(row("CGGCGGCGG")[None], 3)[0].tobytes() == b"CGG"
     assert m.consensus(row("CGGATTATTATTCGG")[None], 3)[0].tobytes() == b"ATT"
-    assert m._least_rotation(b"GGC") == b"CGG"
+    assert m._least_rotations(row("GGC")[None]).tolist() == [b"CGG"]
+    assert m.canonicals(np.stack([row("CGG"), row("GCC"), row("AAA")])).tolist() == [b"CCG", b"CCG", b"AAA"]
     assert [m.canonical(u) for u in (b"CGG", b"GCC", b"GATA")] == [b"CCG", b"CCG", b"AGAT"]
 
 
@@ -128,3 +129,14 @@ def test_odd_reads():
     assert ids("cag" * 20) == ["AGC"]
     assert m.detect([b"=" * 40, None, b""], [None, None, b""], 1, 20) == [[], [], []]
     assert m.detect([b"CAG" * 20], [None], 1, 20)[0][0][0] == "AGC"
+
+
+@pytest.mark.parametrize("filtered", ["size(motifs) > 0", "best is not null"])
+def test_the_finder_runs_once(spark, tmp_path, filtered):
+    """A filter on the finder's result and a projection of it share one run."""
+    rows = [("CAG" * 20, None), ("ACGTTGCAACGGTTCAGTAGCTAGCATCGATCGTAGCTAGGCTAGCATCGTAGCTAGCA", None), (None, None)]
+    spark.createDataFrame(rows, "seq string, qual binary").write.parquet(str(tmp_path / "r"))
+    found = m.with_motifs(spark.read.parquet(str(tmp_path / "r"))).where(filtered).select("seq", "motifs")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.motifs for r in found.collect()] == [["AGC"]]
