@@ -3,8 +3,8 @@
     spark.dataSource.register(AlignmentSource)
     spark.read.format("alignments").load("reads.bam")
 
-A BAM split begins at the first compressed block in its range and, in it, at the first place from which a
-chain of records can be read; it ends with the last record that begins in its range. ord is a record's
+A BAM split begins at the first compressed block in its range and, from there on, at the first place from which a
+chain of records can be read, in whatever block that is; it ends with the last record that begins in its range. ord is a record's
 virtual offset (block offset and place in the block), in SAM the line's byte offset, so the order of
 records in a file is known whatever the splits. CRAM needs a codec that is not installed and is refused.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -118,13 +119,13 @@ class Stream:
 
     def __init__(self, blocks: Blocks):
         self.blocks, self.data, self.starts = blocks, b"", []  # starts: (place in data, block offset)
-        self.at = 0
+        self.at, self.keep = 0, False
 
     def more(self) -> bool:
         block = self.blocks.next()
         if block is None:
             return False
-        if self.at > 1 << 20:  # forget what was read
+        if self.at > 1 << 20 and not self.keep:  # forget what was read
             self.data, cut = self.data[self.at :], self.at
             self.starts = [(p - cut, o) for p, o in self.starts]
             self.starts = self.starts[max((i for i, (p, _) in enumerate(self.starts) if p <= 0), default=0) :]
@@ -162,39 +163,67 @@ def read_header(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, contigs
 
 
-def _plausible(data: bytes, at: int, contigs: int) -> int | None:
-    """The place after the record at a place, if it can be one; len(data) + 1 if the data end before it can be told."""
-    if at + 36 > len(data):
-        return len(data) + 1
-    size = struct.unpack_from("<i", data, at)[0]
-    tid, pos, name_len, _, _, n_cigar, _, n_seq, mtid, mpos, _ = _FIXED.unpack_from(data, at + 4)
-    if not (32 + name_len <= size < 1 << 28 and -1 <= tid < contigs and -1 <= mtid < contigs and pos >= -1 and mpos >= -1 and name_len and 0 <= n_seq):
-        return None
-    if 32 + name_len + 4 * n_cigar + (n_seq + 1) // 2 + n_seq > size:
-        return None
-    name = data[at + 36 : at + 36 + name_len]
-    if len(name) == name_len and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
-        return None
-    return at + 4 + size
-
-
-def _first_record(stream: Stream, contigs: int) -> bool:
-    """Move to the first place in the first block from which records follow one another."""
-    if not stream.need(1):
+def _may_begin(data: bytes, first: int, last: int, contigs: int) -> np.ndarray:
+    """Places first..last-1 whose first 36 bytes can open a record."""
+    last = min(last, len(data) - 35)
+    if last <= first:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    at = np.arange(first, last)
+    number = lambda k: np.lib.stride_tricks.sliding_window_view(raw, 4)[at + k].copy().view("<i4")[:, 0]
+    good = (number(4) >= -1) & (number(4) < contigs) & (raw[at + 12] > 0)
+    at = at[good]
+    size, n_seq = number(0).astype(np.int64), number(20).astype(np.int64)
+    least = 32 + raw[at + 12].astype(np.int64) + 4 * (raw[at + 16].astype(np.int64) + 256 * raw[at + 17].astype(np.int64)) + (n_seq + 1) // 2 + n_seq
+    good = (n_seq >= 0) & (size >= least) & (size < 1 << 28) & (number(24) >= -1) & (number(24) < contigs) & (number(8) >= -1) & (number(28) >= -1)
+    return at[good]
+
+
+def _plausible(body: bytes) -> bool:
+    """Whether the bytes after a record's size, of which _may_begin() holds, can open a record: its name can be printed and its operations are known."""
+    _, _, name_len, _, _, n_cigar, _, _, _, _, _ = _FIXED.unpack_from(body)
+    name = body[32 : 32 + name_len]
+    if name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1]):
         return False
-    for _ in range(3):
-        if not stream.more():
-            break
-    end = stream.starts[1][0] if len(stream.starts) > 1 else len(stream.data)
-    for at in range(end):
-        place, chain = at, 0
-        while place is not None and place < len(stream.data) and chain < 8:
-            place = _plausible(stream.data, place, contigs)
-            chain += 1
-        if place is not None and (chain >= 2 or place == len(stream.data)):
+    return all(c & 15 < len(OPS) for c in struct.unpack_from(f"<{n_cigar}I", body, 32 + name_len))
+
+
+def _chained(stream: Stream, contigs: int, links: int = 4) -> bool:
+    """Whether records follow one another from the stream's place on, for some links or to the end of the file; the place stays.
+
+    A record may be longer than any block: what is missing is read.
+    """
+    at = stream.at
+    try:
+        for _ in range(links):
+            if not stream.need(36):
+                return len(stream.data) == stream.at
+            if not len(_may_begin(stream.data, stream.at, stream.at + 1, contigs)):
+                return False
+            size = struct.unpack_from("<i", stream.data, stream.at)[0]
+            head = 36 + stream.data[stream.at + 12] + 4 * struct.unpack_from("<H", stream.data, stream.at + 16)[0]
+            if not stream.need(head) or not _plausible(stream.data[stream.at + 4 : stream.at + head]) or not stream.need(4 + size):
+                return False
+            stream.at += 4 + size
+        return True
+    finally:
+        stream.at = at
+
+
+def _first_record(stream: Stream, contigs: int, stop: int) -> bool:
+    """Move to the first place, in a block before stop, from which records follow one another; False if there is none."""
+    stream.keep, first = True, 0
+    while True:
+        beyond = next((p for p, o in stream.starts if o >= stop), None)
+        last = min(len(stream.data) if beyond is None else beyond, len(stream.data) - 35)
+        for at in _may_begin(stream.data, first, last, contigs).tolist():
             stream.at = at
-            return True
-    return False
+            if _chained(stream, contigs):
+                stream.keep = False
+                return True
+        stream.at, first = 0, max(first, last)
+        if beyond is not None and first >= beyond or first >= len(stream.data) - 35 and not stream.more():
+            return False
 
 
 def decode(file_id: str, ord_: int, body: bytes) -> tuple:
@@ -229,7 +258,7 @@ def bam_records(path: str, start: int, stop: int):
                     return
             else:
                 stream = Stream(Blocks(file, first))
-                if not _first_record(stream, len(contigs)):
+                if not _first_record(stream, len(contigs), stop):
                     return
         while stream.need(4):
             if len(stream.data) == stream.at:

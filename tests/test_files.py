@@ -1,9 +1,11 @@
 """Alignment files, paths, the command line and the streaming forms."""
 
 import json
+import os
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from quillon import cli
 from quillon.operators.pairing import confirmed
@@ -57,6 +59,34 @@ def test_round_trip_in_splits(spark, some_reads, two_contigs, tmp_path, kind):
     assert [tuple(r) for r in alignments.contigs_of(spark, path).collect()] == [(0, "chr1", 10000), (1, "chr2", 20000)]
 
 
+@pytest.mark.parametrize("sizes", [(100, 300), (100, 120_000), (500_000,), (100, 70_000, 500_000, 0)])
+def test_long_reads_in_splits(tmp_path, sizes):
+    """Records longer than a block, and than a split: the splits give each once, whatever their size."""
+    r = random.Random(len(sizes) + sizes[-1])
+    rows = []
+    for i in range(60 if max(sizes) < 500_000 else 14):
+        n = r.choice(sizes)
+        seq = "".join(r.choices("ACGT", k=n))
+        qual = bytearray(r.choices((0, 2, 30, 40, 255), k=n))
+        rows.append(Row(qname=f"read{i}", flag=1, tid=i % 2, pos=r.randint(0, 9000), mapq=9, cigar=f"{n}M" if n else "*", mtid=-1, mpos=-1, seq=seq, qual=qual))
+    path = str(tmp_path / "long.bam")
+    head = b"BAM\x01" + b"\0" * 4 + (2).to_bytes(4, "little")
+    for name in (b"chr1\0", b"chr2\0"):
+        head += len(name).to_bytes(4, "little") + name + (10_000).to_bytes(4, "little")
+    data = head + b"".join(map(alignments.encode, rows))
+    with open(path, "wb") as file:
+        for at in range(0, len(data), 0xFF00):
+            file.write(alignments._compressed(data[at : at + 0xFF00]))
+        file.write(alignments._EOF)
+    size = os.path.getsize(path)
+    for split in (size, size // 2, size // 4 + 1, size // 9 + 1, 30_001, 7_000):
+        if size // split > 300:
+            continue
+        got = [x for a in range(0, size, split) for x in alignments.bam_records(path, a, min(a + split, size))]
+        assert [(x[2], x[10], x[11]) for x in got] == [(x.qname, x.seq, bytes(x.qual)) for x in rows]
+        assert [x[1] for x in got] == sorted({x[1] for x in got})
+
+
 def test_paths():
     assert [paths.is_cram_path(p) for p in ("a.cram", "A.CRAM?x#y", "a.bam", "s3://b/c.cram#f", "a.cram.crai")] == [True, True, False, True, False]
     assert [paths.output_format(*a) for a in (("x.cram",), ("x.CrAm",), ("x",), ("x.sam",), ("x.cram", "bam"))] == ["cram", "cram", "bam", "bam", "bam"]
