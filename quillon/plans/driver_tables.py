@@ -6,8 +6,9 @@ Every projection is written once for Spark and once, in ORACLE_SQL, for DuckDB.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.functions import sequence
 from quillon.functions.motif import consensus, with_motifs
@@ -18,10 +19,11 @@ from quillon.plans.profile import anchors, candidates, count_anchors, eligible,
 from quillon.plans.sample import sample_n
 from quillon.plans.sinks import sinks
 from quillon.schema import MergeParams, ProfileParams, SinksParams
-from quillon.sources.text import parse_bed
+from quillon.sources.paths import is_cram_path
+from quillon.sources.text import parse_bed, parse_depths
 
-#: a read without repeats
-APERIODIC = "ACGTTGCAACGGTTCAGTAGCTAGCATCGATCGTAGCTAGGCTAGCATCGTAGCTAGCA"
+#: letters in a read, and places at which a read of kind 3, or of kinds 4 and 5, holds another letter than its repeat
+READ, FEW, MANY = 120, (17, 58, 101), (3, 19, 36, 50, 71, 82, 97, 113)
 #: coordinates here are days, so bins are small
 BIN = 64
 
@@ -58,11 +60,24 @@ def _unit(key):
     return F.substring(F.translate(F.md5(key.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), (2 + key % 7).cast("int"))
 
 
+def _swapped(seq, places):
+    """seq with the letters at places complemented."""
+    ends = [0, *[p + 1 for p in places]]
+    parts = [F.concat(F.substring(seq, a + 1, p - a), F.translate(F.substring(seq, p + 1, 1), "ACGT", "TGCA")) for a, p in zip(ends, places)]
+    return F.concat(*parts, F.substring(seq, ends[-1] + 1, READ))
+
+
 def _reads(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as reads: repeats of a unit that hangs on the part, or none; mates on the next contig."""
+    """lineitem as reads, mates on the next contig. The supplier gives the kind of read.
+
+    0: no repeat. 1, 2: repeats of a unit that hangs on the part, of high or missing quality. 3: with few other
+    letters, which is still a repeat. 4 and 5: with many, which is none if their quality is high, and one if it is
+    low. 6: two motifs, of two letters and of those nine times and one change. 7: a repeat on the reverse strand.
+    Units of one letter have no other letters in them, since these would make longer repeats.
+    """
     parts = _parts(spark, sf)
     part, line, supp = F.col("l_partkey"), F.col("l_linenumber").cast("long"), F.col("l_suppkey")
-    day = _days("l_shipdate")
+    day, unit = _days("l_shipdate"), _unit(F.col("l_partkey"))
     flag = (
         F.lit(1)
         + F.when(F.col("l_returnflag") == "A", 64).when(F.col("l_returnflag") == "N", 128).otherwise(0)
@@ -70,7 +85,14 @@ def _reads(spark: SparkSession, sf: str) -> DataFrame:
         + F.when(supp % 9 == 0, 8).otherwise(0)
         + F.when((line == 7) & (F.col("l_linestatus") == "O"), 256).otherwise(0)
     )
-    seq = F.when(supp % 3 == 0, F.lit(APERIODIC)).otherwise(F.substring(F.repeat(_unit(part), F.lit(60)), F.lit(1), F.lit(120)))
+    repeats = F.substring(F.repeat(unit, F.lit(READ // 2)), F.lit(1), F.lit(READ))
+    plain = F.replace(unit, F.substring(unit, 1, 1), F.lit("")) == ""
+    kind = supp % 8
+    kind = F.when((kind >= 3) & (kind <= 5) & plain, F.lit(2)).otherwise(kind)
+    none = F.substring(F.translate(F.concat(*[F.md5(F.concat(F.lit(f"{i}:"), part)) for i in range(4)]), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, READ)
+    pair = F.element_at(F.array(*map(F.lit, ("CT", "GT", "AT"))), (part % 3 + 1).cast("int"))
+    double = F.repeat(F.concat(F.repeat(pair, F.lit(9)), F.substring(pair, 1, 1), F.lit("A")), F.lit(READ // 20))
+    high, low = F.unhex(F.lit("28" * READ)), F.unhex(F.lit("05" * READ))
     rows = _table(spark, sf, "lineitem").select(
         F.lit("lineitem").alias("file_id"),
         (((line * (1 << 24) + part) * (1 << 14) + supp) * (1 << 12) + day).alias("ord"),
@@ -81,9 +103,16 @@ def _reads(spark: SparkSession, sf: str) -> DataFrame:
         ((part * 7 + line * 13) % 61).cast("int").alias("mapq"),
         ((part + 1) % parts).cast("int").alias("mtid"),
         (day + 20 * line).alias("mpos"),
-        seq.alias("seq"),
+        F.when(kind == 0, none)
+        .when(kind <= 2, repeats)
+        .when(kind == 3, _swapped(repeats, FEW))
+        .when(kind <= 5, _swapped(repeats, MANY))
+        .when(kind == 6, double)
+        .otherwise(sequence.reverse_complement(repeats))
+        .alias("seq"),
+        F.when(kind == 5, low).when(kind != 2, high).alias("qual"),
     )
-    return rows.withColumn("cigar", F.concat(F.length("seq"), F.lit("M"))).withColumn("qual", F.lit(None).cast("binary")).withColumn("end_pos", F.col("pos") + F.length("seq"))
+    return rows.withColumn("cigar", F.concat(F.length("seq"), F.lit("M"))).withColumn("end_pos", F.col("pos") + F.length("seq"))
 
 
 def _contigs(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,7 +317,12 @@ def cram_path(spark, sf):
     """The CRAM test of paths made of part names."""
     endings = F.element_at(F.array(*map(F.lit, (".cram", ".CRAM?x=1", ".bam", ".cram.crai", "#.cram", ".cRaM#a"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     rows = _table(spark, sf, "part").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", "/"), endings).alias("path"))
-    return rows.withColumn("is_cram", F.lower(F.regexp_replace("path", "[?#].*$", "")).endswith(".cram"))
+
+    @F.pandas_udf("boolean")
+    def is_cram(found: pd.Series) -> pd.Series:
+        return found.map(is_cram_path)
+
+    return rows.withColumn("is_cram", is_cram("path"))
 
 
 def bed_parse(spark, sf):
@@ -301,9 +335,8 @@ def bed_parse(spark, sf):
 
 def depth_last(spark, sf):
     """Of a sample's depths the last line counts."""
-    rows = _table(spark, sf, "orders").select(F.concat(F.lit("sample"), F.col("o_custkey") % 50).alias("sample_id"), F.col("o_totalprice").alias("depth"), F.col("o_orderkey").alias("line_no"))
-    last = Window.partitionBy("sample_id")
-    return rows.withColumn("top", F.max("line_no").over(last)).where("line_no = top").select("sample_id", "depth")
+    value = F.concat(F.lit("sample"), F.col("o_custkey") % 50, F.lit("\t"), F.col("o_totalprice"))
+    return parse_depths(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("line_no"), value.alias("value")))
 
 
 QUERIES = {
@@ -349,17 +382,31 @@ _OV = """ov as (select mg.tid, mg."start", mg."end", cast(sum(case when sk.tid i
     from mg left join sk on sk.tid = mg.tid and sk."start" < mg."end" and mg."start" < sk."end" group by 1, 2, 3)"""
 _LINE = "cast(l_linenumber as bigint)"
 _ROOT = "(select list_min(list_filter(range(1, length(unit) + 1), lambda d: length(unit) % d = 0 and repeat(substr(unit, 1, d), cast(length(unit) / d as int)) = unit)))"
-_RD = f"""rd0 as (select {_DAY.format("l_shipdate")} as pos, *, {_UNIT.format("l_partkey")} as unit from lineitem),
+_NONE = " || ".join(f"md5('{i}:' || l_partkey)" for i in range(4))
+_PAIR = "(['CT', 'GT', 'AT'])[l_partkey % 3 + 1]"
+
+
+def _swapped_sql(places) -> str:
+    ends = [0, *[p + 1 for p in places]]
+    parts = [f"substr(repeats, {a + 1}, {p - a}) || translate(substr(repeats, {p + 1}, 1), 'ACGT', 'TGCA')" for a, p in zip(ends, places)]
+    return " || ".join([*parts, f"substr(repeats, {ends[-1] + 1}, {READ})"])
+
+
+_RD = f"""rd0 as (select {_DAY.format("l_shipdate")} as pos, *, {_UNIT.format("l_partkey")} as unit, substr(repeat({_UNIT.format("l_partkey")}, {READ // 2}), 1, {READ}) as repeats from lineitem),
+    rd1 as (select *, case when l_suppkey % 8 between 3 and 5 and replace(unit, unit[1], '') = '' then 2 else l_suppkey % 8 end as kind, repeat({_PAIR}, 9) || {_PAIR}[1] || 'A' as double from rd0),
     rd as (select ((({_LINE} * 16777216 + l_partkey) * 16384 + l_suppkey) * 4096 + pos) as ord, cast(l_orderkey as varchar) as qname,
         1 + case l_returnflag when 'A' then 64 when 'N' then 128 else 0 end + case when (l_partkey + l_linenumber) % 11 = 0 then 4 else 0 end + case when l_suppkey % 9 = 0 then 8 else 0 end
             + case when l_linenumber = 7 and l_linestatus = 'O' then 256 else 0 end as flag,
         cast(l_partkey % p.n as int) as tid, pos, (l_partkey * 7 + l_linenumber * 13) % 61 as mapq, cast((l_partkey + 1) % p.n as int) as mtid, pos + 20 * {_LINE} as mpos,
-        case when l_suppkey % 3 = 0 then '{APERIODIC}' else substr(repeat(unit, 60), 1, 120) end as seq,
-        case when l_suppkey % 3 <> 0 then substr(unit, 1, {_ROOT}) end as root from rd0, p),
-    mo as (select *, pos + length(seq) as end_pos, case when length(root) >= 2 then {_canonical("root")} end as motif from rd)"""
-_CA = """met as (select mo.ord, mo.tid, mo.pos, qname, flag, mtid, mpos, motif from mo join sk on sk.tid = mo.tid and pos < sk."end" and sk."start" < end_pos where (flag & 260) = 0 and mapq <= 40 and motif is not null),
-    ca as (select min(ord) as ord, tid, pos, qname, flag, count(*) as n_fetched, arg_min(motif, ord) as motif, arg_min(mtid, ord) as mtid, arg_min(mpos, ord) as mpos from met group by tid, pos, qname, flag)"""
-_AN = """an as (select mtid as tid, mpos as "start", mpos + 150 as "end", motif from ca where (flag & 8) = 0)"""
+        case when kind = 0 then substr(translate({_NONE}, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, {READ}) when kind <= 2 then repeats when kind = 3 then {_swapped_sql(FEW)}
+            when kind <= 5 then {_swapped_sql(MANY)} when kind = 6 then repeat(double, {READ // 20}) else {_RC.format("repeats")} end as seq,
+        case kind when 2 then 'missing' when 5 then 'low' else 'high' end as qual, kind,
+        case when kind in (1, 2, 3, 5, 7) then substr(unit, 1, {_ROOT}) end as root, case when kind = 6 then {_PAIR} end as two, double from rd1, p),
+    mo as (select *, motifs[-1] as motif from (select *, pos + length(seq) as end_pos,
+        case when length(root) >= 2 then [{_canonical("root")}] when kind = 6 then [{_canonical("two")}, {_canonical("double")}] else [] end as motifs from rd))"""
+_CA = """met as (select mo.ord, mo.tid, mo.pos, qname, flag, mtid, mpos, motifs from mo join sk on sk.tid = mo.tid and pos < sk."end" and sk."start" < end_pos where (flag & 260) = 0 and mapq <= 40 and motif is not null),
+    ca as (select min(ord) as ord, tid, pos, qname, flag, count(*) as n_fetched, arg_min(motifs, ord) as motifs, arg_min(mtid, ord) as mtid, arg_min(mpos, ord) as mpos from met group by tid, pos, qname, flag)"""
+_AN = """an as (select mtid as tid, mpos as "start", mpos + 150 as "end", motifs from ca where (flag & 8) = 0)"""
 _LO = f"""lo as (select c_nationkey as line_no, 'sample' || c_nationkey as sample_id, o_orderkey as locus_no, o_orderpriority as chrom, {_DAY.format("o_orderdate")} * 40 + o_orderkey % 40 as "start",
         {_DAY.format("o_orderdate")} * 40 + o_orderkey % 40 + 1 + o_orderkey % 7 as "end", 1 + o_orderkey % 9 as n, o_orderstatus as motif from orders join customer on o_custkey = c_custkey),
     li as (select *, sum(new) over (partition by chrom order by "start", "end" rows unbounded preceding) as island from (
@@ -370,7 +417,7 @@ _LO = f"""lo as (select c_nationkey as line_no, 'sample' || c_nationkey as sampl
     dp as (select 'sample' || n_nationkey as sample_id, cast(10.0 + n_nationkey as double) as depth from nation)"""
 _PAIRED = """pr as (select *, (row_number() over (partition by qname order by ord) - 1) // 2 as pair from {}),
     pc as (select *, count(*) over (partition by qname, pair) as n, count(*) filter (role = 'IRR') over (partition by qname, pair) as n_irr from pr)"""
-_SEQ = "substr(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 1, 150)"
+_SEQ = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 _SAMPLE = sample_size(0.95, 0.01)
 _CM = f"""cm as (select *, min("start") over (partition by tid, island) as s, max("end") over (partition by tid, island) as e from (
     select *, sum(new) over (partition by tid order by "start", "end" rows unbounded preceding) as island from (
@@ -397,20 +444,20 @@ ORACLE_SQL = {
     "revcomp": f"select p_partkey, {_RC.format(_UNIT.format('p_partkey'))} as rc from part",
     "min_rotation": f"select p_partkey, {_rotated('unit')} as rotation from (select p_partkey, {_UNIT.format('p_partkey')} as unit from part)",
     "canonical_unit": f"select p_partkey, {_canonical('unit')} as canonical from (select p_partkey, {_UNIT.format('p_partkey')} as unit from part)",
-    "match_frequency": f"""with s as (select doc_id, {_SEQ} as seq from documents), q as (select doc_id, seq, unnest(range(2, 21)) as period from s),
-        m as (select doc_id, period, length(seq) as n, case when period <= length(seq) // 2 then len(list_filter(range(1, length(seq) - period + 1), lambda i: seq[i] = seq[i + period])) else 0 end as matches from q)
+    "match_frequency": f"""with s as (select doc_id, string_split(coalesce({_SEQ}, ''), '') as l, length(coalesce({_SEQ}, '')) as n from documents), q as (select *, unnest(range(2, 21)) as period from s),
+        m as (select doc_id, period, n, case when period <= n // 2 then len(list_filter(list_zip(l[1:n - period], l[period + 1:n]), lambda x: x[1] = x[2])) else 0 end as matches from q)
         select doc_id, period, cast(matches as bigint) as matches, case when period <= n // 2 then matches / (n - period) else 0.0::double end as frequency from m""",
     "consensus_unit": f"""with s as (select doc_id, {_SEQ} as seq from documents where length({_SEQ}) >= 6), b as (select doc_id, unnest(range(0, length(seq))) as i, unnest(string_split(seq, '')) as base from s),
         v as (select doc_id, i % 3 as phase, base, count(*) as n from b group by all), w as (select *, row_number() over (partition by doc_id, phase order by n desc, base desc) as r from v)
         select doc_id, string_agg(base, '' order by phase) as unit from w where r = 1 group by doc_id""",
-    "motif_candidates": f"with {_SK}, {_RD} select distinct tid, seq, motif from mo where motif is not null",
-    "best_motif": f"with {_SK}, {_RD} select distinct tid, seq, motif as best from mo",
+    "motif_candidates": f"with {_SK}, {_RD} select tid, seq, unnest(motifs) as motif from (select distinct tid, seq, qual, motifs from mo)",
+    "best_motif": f"with {_SK}, {_RD} select tid, seq, motif as best from (select distinct tid, seq, qual, motif from mo)",
     "sample_n": "select c as confidence, p as probability, cast(ceil(ln(1 - c) / ln(1 - p)) as bigint) as n from (values (0.95::double, 0.01::double), (0.9, 0.05), (0.95, 0.5), (0.0, 0.5)) t(c, p)",
     "sample_lines": f"select o_orderkey as line_no, o_orderkey || chr(9) || o_orderstatus as value from orders order by md5('42:' || o_orderkey), o_orderkey limit {_SAMPLE}",
-    "profile_candidates": f"with {_SK}, {_RD}, {_CA} select ord, tid, pos, qname, flag, n_fetched, motif as motifs from ca",
+    "profile_candidates": f"with {_SK}, {_RD}, {_CA} select ord, tid, pos, qname, flag, n_fetched, array_to_string(motifs, ',') as motifs from ca",
     "profile_anchors": f"""with {_SK}, {_RD}, {_CA}, {_AN} select tid, "start", "end", count(*) as n from an group by all""",
     "profile_summary": f"""with {_SK}, {_RD}, {_CA}, {_AN}, {_CM.format(5, "an")}, mg as (select tid, s as "start", e as "end", count(*) as irr_count from cm group by all), {_OV},
-        mm as (select tid, s as "start", e as "end", motif, count(*) as n from cm group by all)
+        mm as (select tid, s as "start", e as "end", motif, count(*) as n from (select tid, s, e, unnest(motifs) as motif from cm) group by all)
         select 'chr' || tid as chrom, "start", "end", irr_count, motif, n from mg join mm using (tid, "start", "end") join ov using (tid, "start", "end") where overlap / ("end" - "start") <= 0.8""",
     "sinks_bed": f"""with {_SK}, {_RD}, rr as (select qname, ord, case when motif is not null and ((flag & 4) <> 0 or mapq <= 40) then 'IRR' when (flag & 4) = 0 and mapq > 40 and mapq >= 50 then 'ANCHOR' end as role, motif, tid,
             case when (flag & 4) = 0 then pos end as "start", case when (flag & 4) = 0 then end_pos end as "end" from mo where (flag & 256) = 0), r2 as (select * from rr where role is not null), {_PAIRED.format("r2")},

@@ -67,8 +67,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_depths(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, depth): lines of sample, TAB, number; of a repeated sample the last line counts."""
-    rows = numbered_lines(spark, path).select("line_no", F.trim("value").alias("value")).where("value <> ''")
+    return parse_depths(numbered_lines(spark, path))
+
+
+def parse_depths(lines: DataFrame) -> DataFrame:
+    """(sample_id, depth) of lines (line_no, value) of sample, TAB, number; of a repeated sample the last line counts."""
+    rows = lines.select("line_no", F.trim("value").alias("value")).where("value <> ''")
     f = F.split("value", "\t", 2)
     rows = rows.select("line_no", f[0].alias("sample_id"), F.trim(F.get(f, F.lit(1))).alias("text"))
     depth = F.expr("try_cast(text as double)")
