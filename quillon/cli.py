@@ -61,7 +61,15 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _report(command: str, metrics) -> None:
+    """Log a run's counts; they are only made up if someone reads them."""
+    if log.isEnabledFor(logging.INFO):
+        log.info("%s: %s", command, metrics())
+
+
 def run_profile(spark, args) -> None:
+    from pyspark.sql import DataFrame
+
     from quillon.plans.profile import profile
     from quillon.sources import alignments, paths, text, writers
 
@@ -73,11 +81,14 @@ def run_profile(spark, args) -> None:
     exclude = text.read_bed(spark, args.exclude_bed, contigs) if args.exclude_bed else None
     if sinks.isEmpty():
         log.warning("%s holds no regions", args.sink_bed)
-    found = profile(alignments.read_alignments(spark, args.input, args.reference), contigs, sinks, exclude, params)
+    reads = alignments.read_alignments(spark, args.input, args.reference)
+    found = profile(reads, contigs, sinks, exclude, params, DataFrame.persist)  # the reads are scanned once
     writers.write_json(found.summary, args.summary)
+    written = 0
     if args.output:
-        alignments.write_bam(found.candidates, contigs, args.output, alignments.header_text(args.input))
-    log.info("profile: %s", found.metrics.collect()[0].asDict() if log.isEnabledFor(logging.INFO) else "")
+        written = alignments.write_bam(found.candidates, contigs, args.output, alignments.header_text(args.input))
+    _report("profile", lambda: found.metrics.drop("kept_clusters").collect()[0].asDict() | found.observed.get | {"written": written})
+    found.candidates.unpersist()
 
 
 def run_sinks(spark, args) -> None:
@@ -87,11 +98,13 @@ def run_sinks(spark, args) -> None:
     paths.check_reference(args.reference, cram=paths.is_cram_path(args.input))
     params = SinksParams(args.motif_min_len, args.motif_max_len, args.max_irr_mapq, args.min_anchor_mapq, args.merge_distance)
     found = sinks(alignments.read_alignments(spark, args.input, args.reference), alignments.contigs_of(spark, args.input), params)
-    writers.write_bed(found.regions, args.output)
-    log.info("sinks: %s", found.metrics.collect()[0].asDict() if log.isEnabledFor(logging.INFO) else "")
+    rows = writers.write_bed(found.regions, args.output)
+    _report("sinks", lambda: found.metrics.collect()[0].asDict() | found.observed.get | {"rows": rows})
 
 
 def run_merge(spark, args) -> None:
+    from pyspark.sql import Observation, functions as F
+
     from quillon.plans.merge import merge
     from quillon.sources import text, writers
 
@@ -102,18 +115,24 @@ def run_merge(spark, args) -> None:
         log.warning("no depths: counts are not scaled")
     if manifest.isEmpty():
         log.warning("%s names no samples", args.manifest)
-    writers.write_json(merge(text.read_summaries(spark, manifest), depths, params), args.output)
+    loci, seen = text.read_summaries(spark, manifest), Observation()
+    written = writers.write_json(merge(loci.observe(seen, F.count("*").alias("loci")), depths, params), args.output)
+    _report("merge", lambda: {"samples": (n := manifest.count()), "batches": -(-n // params.batch_size), "loci": seen.get["loci"], "clusters": written})
 
 
 def run_sample(spark, args) -> None:
+    from pyspark.sql import Observation, functions as F
+
     from quillon.functions.sampling import sample_size
     from quillon.plans.sample import sample
     from quillon.sources import text, writers
 
     n = sample_size(args.confidence, args.probability)
     header, lines = text.data_lines(spark, args.input, not args.no_header)
-    writers.write_lines(header, sample(lines, args.confidence, args.probability, args.seed), args.output)
-    log.info("sample: %s lines, seed %s", n, args.seed)
+    seen = Observation()
+    lines = lines.observe(seen, F.count("*").alias("seen"))
+    drawn = writers.write_lines(header, sample(lines, args.confidence, args.probability, args.seed), args.output)
+    _report("sample", lambda: {"drawn": drawn, "seen": seen.get["seen"], "n": n, "confidence": args.confidence, "probability": args.probability, "seed": args.seed})
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from quillon.functions.motif import with_motifs
-from quillon.operators.intervals import exclude_covered, join_hulls, local_islands, merge_regions, overlapping_pairs
+from quillon.operators.intervals import exclude_covered, join_hulls, local_islands, merge_regions, merge_within, overlapping_pairs
 from quillon.schema import MATE_UNMAPPED, SECONDARY, SUPPLEMENTARY, UNMAPPED, ProfileParams
 
 KEY = ("file_id", "tid", "pos", "qname", "flag")
@@ -15,11 +16,15 @@ KEY = ("file_id", "tid", "pos", "qname", "flag")
 
 @dataclass(frozen=True)
 class Profile:
-    """candidates: the distinct repeat reads with motifs and n_fetched. summary: the anchor regions. metrics: one row."""
+    """candidates: the distinct repeat reads with motifs and n_fetched. summary: the anchor regions. metrics: one row.
+
+    observed: the counts of candidates (pass_count, distinct, anchored, unanchored) of the first run that reads all of them.
+    """
 
     candidates: DataFrame
     summary: DataFrame
     metrics: DataFrame
+    observed: Observation
 
 
 def eligible(reads: DataFrame, max_mapq: int) -> DataFrame:
@@ -47,10 +52,11 @@ def anchors(found: DataFrame, params: ProfileParams) -> DataFrame:
     return placed.select(F.col("mtid").alias("tid"), F.col("mpos").alias("start"), (F.col("mpos") + params.read_length).alias("end"), "motifs")
 
 
-def count_anchors(found: DataFrame, distance: int) -> DataFrame:
+def count_anchors(found: DataFrame, distance: int, covered: DataFrame | None = None, fraction: float = 1.0) -> DataFrame:
     """(tid, start, end, irr_count, motifs): anchors (tid, start, end, motifs) clustered and counted.
 
-    A read counts once in irr_count and once for each of its motifs.
+    A read counts once in irr_count and once for each of its motifs. Clusters of which covered (merged regions)
+    covers more than a fraction are left out.
     """
     local = local_islands(found, distance)
     own = ["tid", "_bin", "_local"]
@@ -59,23 +65,39 @@ def count_anchors(found: DataFrame, distance: int) -> DataFrame:
     by_motif = local.select(*own, F.explode(F.array_distinct("motifs")).alias("motif")).groupBy(*own, "motif").agg(F.count("*").alias("n"))
     island = ["tid", "island"]
     counts = hulls.groupBy(*island).agg(F.min("island_start").alias("start"), F.max("island_end").alias("end"), F.sum("n").alias("irr_count"))
+    if covered is not None:
+        counts = exclude_covered(counts, covered, fraction)
     motifs = hulls.select(*own, "island").join(by_motif, own).groupBy(*island, "motif").agg(F.sum("n").alias("n"))
     maps = motifs.groupBy(*island).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("motif", "n")))).alias("motifs"))
     return counts.join(maps, island, "left").select("tid", "start", "end", "irr_count", F.coalesce("motifs", F.create_map().cast("map<string,bigint>")).alias("motifs"))
 
 
-def profile(reads: DataFrame, contigs: DataFrame, sinks: DataFrame, exclude: DataFrame | None = None, params: ProfileParams = ProfileParams()) -> Profile:
-    """reads: READS; contigs (tid, name, length); sinks and exclude: regions (tid, start, end), merged here."""
+def _candidate_counts() -> list:
+    placed = (F.col("flag").bitwiseAND(MATE_UNMAPPED) == 0) & (F.col("mtid") >= 0)
+    fetched = F.coalesce(F.sum("n_fetched"), F.lit(0)).alias("pass_count")
+    return [fetched, F.count("*").alias("distinct"), F.count_if(placed).alias("anchored"), F.count_if(~placed).alias("unanchored")]
+
+
+def profile(
+    reads: DataFrame, contigs: DataFrame, sinks: DataFrame, exclude: DataFrame | None = None, params: ProfileParams = ProfileParams(), store: Callable[[DataFrame], DataFrame] | None = None
+) -> Profile:
+    """reads: READS; contigs (tid, name, length); sinks and exclude: regions (tid, start, end), merged here.
+
+    store, for instance DataFrame.persist, is given the candidates, which several results read.
+    """
     regions = merge_regions(sinks)
-    found = candidates(reads, regions, params)
-    merged = count_anchors(anchors(found, params), params.anchor_merge_distance)
+    observed = Observation()
+    found = candidates(reads, regions, params).observe(observed, *_candidate_counts())
+    if store is not None:
+        found = store(found)
+    where = anchors(found, params)
     covered = merge_regions(sinks.unionByName(exclude)) if exclude is not None else regions
-    kept = exclude_covered(merged.select("tid", "start", "end"), covered, params.exclude_overlap_fraction)
-    named = merged.join(kept.select("tid", "start", "end"), ["tid", "start", "end"], "left_semi").join(contigs.select("tid", F.col("name").alias("chrom")), "tid")
+    kept = count_anchors(where, params.anchor_merge_distance, covered, params.exclude_overlap_fraction)
+    named = kept.join(contigs.select("tid", F.col("name").alias("chrom")), "tid")
     summary = named.select("tid", "chrom", "start", "end", "irr_count", "motifs").orderBy("tid", "start", "end").drop("tid")
-    placed = (F.col("flag").bitwiseAND(MATE_UNMAPPED) == 0) & (F.col("mtid") >= 0)
-    metrics = found.agg(
-        F.coalesce(F.sum("n_fetched"), F.lit(0)).alias("pass_count"), F.count("*").alias("distinct"), F.count_if(placed).alias("anchored"), F.count_if(~placed).alias("unanchored")
-    )
-    metrics = metrics.crossJoin(merged.agg(F.count("*").alias("clusters"))).crossJoin(kept.agg(F.count("*").alias("kept_clusters")))  # one row each
-    return Profile(found, summary, metrics.withColumn("sink_excluded", F.col("clusters") - F.col("kept_clusters")))
+    clusters = merge_within(where.select("tid", "start", "end"), params.anchor_merge_distance)
+    left = exclude_covered(clusters, covered, params.exclude_overlap_fraction)
+    one = lambda rows, name: rows.agg(F.count("*").alias(name))
+    metrics = one(sinks, "bed_regions").crossJoin(one(regions, "fetches")).crossJoin(found.agg(*_candidate_counts()))
+    metrics = metrics.crossJoin(one(clusters, "clusters")).crossJoin(one(left, "kept_clusters"))  # one row each
+    return Profile(found, summary, metrics.withColumn("sink_excluded", F.col("clusters") - F.col("kept_clusters")), observed)

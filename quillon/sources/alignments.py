@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillon.schema import READS
 from quillon.sources.paths import check_reference, is_cram_path
+from quillon.sources.writers import Counted, file_system
 
 SPLIT_BYTES = 32 << 20
 # Fixed values of the formats.
@@ -38,12 +40,7 @@ _SCHEMA = pa.schema(
 
 def _open(path: str):
     """A seekable file of a local path or of any URI that the file systems of Arrow know."""
-    from pyarrow import fs
-
-    if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path.removeprefix("file:")
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 
@@ -446,39 +443,64 @@ def _made_header(named: list[tuple[str, int]]) -> str:
     return "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in named)
 
 
-def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> None:
-    """Rows of READS, in the order of contig, place and ord, as one BAM file; they stream through the driver."""
+def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> int:
+    """Rows of READS, in the order of contig, place and ord, as one BAM file, which tasks encode and the driver strings together; the number of rows.
+
+    Each task compresses its part of the order into blocks of its own; the driver only passes these on.
+    """
     named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
     text = _made_header(named) if header is None else header
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(named))
     for n, size in named:
         head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
-    with open(path, "wb") as file:
-        held = head
-        for row in rows.orderBy("tid", "pos", "file_id", "ord").toLocalIterator():
-            record = encode(row)
-            if held and len(held) + len(record) > 0xFF00:
-                held = _flush(file, held)
-            held += record
-        while held:
-            file.write(_compressed(held[:0xFF00]))
-            held = held[0xFF00:]
+
+    def blocks(batches):
+        held, n = b"", 0
+        for batch in batches:
+            for row in map(_Read._make, zip(*(c.to_pylist() for c in batch.columns))):
+                held, n = held + encode(row), n + 1
+                if len(held) >= _BLOCK_BYTES:
+                    cut = len(held) // _BLOCK_BYTES * _BLOCK_BYTES
+                    yield _blob(held[:cut], n)
+                    held, n = held[cut:], 0
+        if held:
+            yield _blob(held, n)
+
+    ordered = rows.select(*_Read._fields, "file_id", "ord").orderBy("tid", "pos", "file_id", "ord").select(*_Read._fields)
+    system, inner = file_system(path)
+    count = 0
+    with system.open_output_stream(inner) as file:
+        file.write(_blocks_of(head))
+        for r in ordered.mapInArrow(blocks, "data binary, n long").toLocalIterator():
+            file.write(r.data)
+            count += r.n
         file.write(_EOF)
+    return count
+
+
+_BLOCK_BYTES = 0xFF00
+_Read = namedtuple("_Read", "qname flag tid pos mapq cigar mtid mpos seq qual")
+
+
+def _blocks_of(data: bytes) -> bytes:
+    return b"".join(_compressed(data[at : at + _BLOCK_BYTES]) for at in range(0, len(data), _BLOCK_BYTES))
 
 
-def _flush(file, held: bytes) -> bytes:
-    while held:
-        file.write(_compressed(held[:0xFF00]))
-        held = held[0xFF00:]
-    return b""
+def _blob(data: bytes, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([_blocks_of(data)], pa.binary()), pa.array([n], pa.int64())], names=["data", "n"])
 
 
-def write_sam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> None:
+def write_sam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> int:
+    """Rows of READS, in the order of contig, place and ord, as one SAM file; the number of rows."""
     named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
     name = lambda t: "*" if t < 0 else named[t][0]
-    with open(path, "w") as file:
-        file.write(_made_header(named) if header is None else header)
-        for r in rows.orderBy("tid", "pos", "file_id", "ord").toLocalIterator():
+    counted = Counted()
+    system, inner = file_system(path)
+    with system.open_output_stream(inner) as file:
+        file.write((_made_header(named) if header is None else header).encode())
+        for r in counted(rows.orderBy("tid", "pos", "file_id", "ord").toLocalIterator()):
             known = r.qual is not None and len(r.qual) == len(r.seq or "") and r.seq and any(q != 255 for q in r.qual)
             qual = "".join(chr(q + 33) for q in r.qual) if known else "*"
-            file.write("\t".join(map(str, (r.qname, r.flag, name(r.tid), r.pos + 1, r.mapq, r.cigar or "*", name(r.mtid), r.mpos + 1, 0, r.seq or "*", qual))) + "\n")
+            line = "\t".join(map(str, (r.qname, r.flag, name(r.tid), r.pos + 1, r.mapq, r.cigar or "*", name(r.mtid), r.mpos + 1, 0, r.seq or "*", qual))) + "\n"
+            file.write(line.encode())
+    return counted.n

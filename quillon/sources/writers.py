@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 
 def _write(path: str, lines: Iterable[str]) -> None:
-    """Write lines beside the path, then move them there, so that a failure leaves no half of a file."""
-    part = f"{path}.part"
+    """Write lines beside the path, then move them there, so that a failure leaves no half of a file.
+
+    The path may be any URI that the file systems of Arrow know.
+    """
+    system, inner = file_system(path)
+    part = f"{inner}.part"
     try:
-        with open(part, "w", encoding="utf-8", newline="") as file:
-            file.writelines(lines)
-        os.replace(part, path)
+        with system.open_output_stream(part) as file:
+            for line in lines:
+                file.write(line.encode("utf-8"))
+        system.move(part, inner)
     finally:
-        if os.path.exists(part):
-            os.remove(part)
+        if system.get_file_info(part).type != fs.FileType.NotFound:
+            system.delete_file(part)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a local path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+class Counted:
+    """Counts what passes through it."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __call__(self, rows: Iterable):
+        for row in rows:
+            self.n += 1
+            yield row
 
 
 def bed_lines(regions: DataFrame) -> DataFrame:
@@ -27,8 +49,11 @@ def bed_lines(regions: DataFrame) -> DataFrame:
     return ordered.select(F.concat_ws("\t", "chrom", "start", "end", "motif", "irr_count").alias("value"))
 
 
-def write_bed(regions: DataFrame, path: str) -> None:
-    _write(path, (r.value + "\n" for r in bed_lines(regions).toLocalIterator()))
+def write_bed(regions: DataFrame, path: str) -> int:
+    """The number of lines written."""
+    counted = Counted()
+    _write(path, (r.value + "\n" for r in counted(bed_lines(regions).toLocalIterator())))
+    return counted.n
 
 
 def _plain(value):
@@ -37,12 +62,13 @@ def _plain(value):
     return {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """Rows, in their order, as an indented array with sorted maps; [] without rows."""
+def write_json(rows: DataFrame, path: str) -> int:
+    """Rows, in their order, as an indented array with sorted maps; [] without rows. Gives their number."""
+    counted = Counted()
 
     def lines():
         first = True
-        for row in rows.toLocalIterator():
+        for row in counted(rows.toLocalIterator()):
             item = {k: dict(sorted(v.items())) if isinstance(v, dict) else v for k, v in _plain(row).items()}
             text = json.dumps(item, indent=2, ensure_ascii=False)
             yield ("[\n" if first else ",\n") + "\n".join("  " + x for x in text.split("\n"))
@@ -50,13 +76,18 @@ def write_json(rows: DataFrame, path: str) -> None:
         yield "[]" if first else "\n]"
 
     _write(path, lines())
+    return counted.n
+
 
+def write_lines(header: str | None, lines: DataFrame, path: str) -> int:
+    """The number of lines after the header."""
+    counted = Counted()
 
-def write_lines(header: str | None, lines: DataFrame, path: str) -> None:
     def rows():
         if header is not None:
             yield header + "\n"
-        for r in lines.orderBy("line_no").toLocalIterator():
+        for r in counted(lines.orderBy("line_no").toLocalIterator()):
             yield r.value + "\n"
 
     _write(path, rows())
+    return counted.n
