@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import driver_tables
+from quillon.plans import driver_files, driver_tables
 
-QUERIES = dict(driver_tables.QUERIES)
-ORACLE_SQL = dict(driver_tables.ORACLE_SQL)
+QUERIES = driver_tables.QUERIES | driver_files.QUERIES
+ORACLE_SQL = driver_tables.ORACLE_SQL | driver_files.ORACLE_SQL

@@ -59,8 +59,12 @@ def read_bed(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, sample_id, path): lines of sample, TAB, path; a path may hold TABs; blank lines are skipped."""
-    rows = numbered_lines(spark, path).select("line_no", F.trim("value").alias("value")).where("value <> ''")
+    return parse_manifest(numbered_lines(spark, path))
+
+
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """(line_no, sample_id, path) of lines (line_no, value) of sample, TAB, path; a path may hold TABs; blank lines are skipped."""
+    rows = lines.select("line_no", F.trim("value").alias("value")).where("value <> ''")
     f = F.split("value", "\t", 2)
     bad = _fail("manifest line %s: sample, TAB and path are needed", (F.col("line_no") + 1).cast("string"))
     return rows.select("line_no", f[0].alias("sample_id"), F.when(F.size(f) == 2, F.get(f, F.lit(1))).otherwise(bad.cast("string")).alias("path"))
