@@ -7,6 +7,7 @@ or one longer text, which bounds a Python worker's memory by a few dozen times t
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import AtomicType
 
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,30 +39,69 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at[old]}").alias(new) for new, old in columns.items()])
 
 
+#: tables of this process stand in a folder of this name, which clear() deletes
+RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set it is in the warehouse, or a temporary one on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillon-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        if spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillon-tables"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This process's folder in the shared one."""
+    return f"{shared_dir(spark)}/quillon/{RUN}"
+
+
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends, a lost executor loses nothing."""
-    path = f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of about BATCH_BYTES at most between Spark and its Python workers, while a job runs."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process stored; results that were not read or written yet are lost with them."""
+    _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark)))
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and spark.conf.get("spark.checkpoint.dir", None):
+        clear(spark)
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that materialize() wrote and that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
         for name in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
+            _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent())
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -68,16 +109,29 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def salted(rows: DataFrame, few: DataFrame, salts: int, *key: str) -> tuple[DataFrame, DataFrame]:
+def salted(rows: DataFrame, few: DataFrame, salts: int, *key: str, without: str = "text") -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on key with a column salt to join on as well.
 
-    Rows equal in key are spread by what their other plain columns hold; each share meets all of few.
+    Rows equal in key are spread by what their other plain columns hold, but for one of long texts; each
+    share meets all of few.
     """
-    others = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (*key, "text") and isinstance(f.dataType, AtomicType)]
+    others = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in (*key, without) and isinstance(f.dataType, AtomicType)]
     spread = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(0), *others), F.lit(salts)))
     return spread, few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
 
 
+#: rows of a small side that are broadcast at most; beyond that both sides are salted
+BROADCAST_ROWS, SALTS = 500_000, 16
+
+
+def joined(rows: DataFrame, few: DataFrame, *key: str, how: str = "inner") -> DataFrame:
+    """rows with the stored table few, of which a key has one row but rows may have many."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), [*key], how)
+    rows, few = salted(rows, few, SALTS, *key)
+    return rows.join(few, [*key, "salt"], how).drop("salt")
+
+
 def text_key(column) -> tuple:
     """Two 64-bit hashes that together stand for a text; a null has its own."""
     text = F.col(column)
