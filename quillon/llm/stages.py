@@ -31,8 +31,8 @@ def _without_texts(docs: DataFrame, bad: DataFrame, with_lang: bool = False) ->
     rows = rows.withColumn("t1", t1).withColumn("t2", t2)
     key = ["t1", "t2"]
     if with_lang:
-        rows, key = rows.withColumn("key_lang", F.coalesce("lang", F.lit(""))), [*key, "key_lang"]
-        bad = bad.withColumnRenamed("lang", "key_lang")
+        rows, key = rows.withColumn("key_lang", quality.language_key(F.col("lang"))), [*key, "key_lang"]
+        bad = bad.withColumn("key_lang", quality.language_key(F.col("lang")))
     rows, bad = salted(rows, bad.select(*key).distinct(), SALTS, *key)
     return rows.join(bad.hint("shuffle_hash"), [*key, "salt"], "left_anti").select(*names).toDF(*docs.columns)
 
@@ -45,7 +45,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id; of rows with one doc_id one stays."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id; of rows with one doc_id one stays,
+    the one of the smallest text (null first) and, of equal texts, the smallest other columns as JSON. Shingles have
+    five words, as for all stages on word shingles; the query op9 has its own size by contract."""
     found = near_dedup.groups(spark, docs)
     rows = materialize(spark, found.select("doc_id", "kept"), "kept")
     gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("id"))
@@ -53,7 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     plain, names = _plain(docs, id="doc_id")
     left = plain.join(gone.union(again).distinct().hint("shuffle_hash"), "id", "left_anti").select(*names)
     if not again.isEmpty():
-        left = left.union(plain.join(again, "id", "left_semi").dropDuplicates(["id"]).select(*names))
+        at = names[docs.columns.index("text")]
+        order = F.struct(F.coalesce(at, F.lit("")), F.col(at).isNotNull(), F.to_json(F.struct(*names)))
+        one = plain.join(again, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct(*names), order).alias("row"))
+        left = left.union(one.select(*[F.col(f"row.{x}").alias(x) for x in names]))
     return left.toDF(*docs.columns)
 
 
