@@ -1,8 +1,9 @@
 """Interval algebra on DataFrames of half-open regions.
 
 Merging is gaps-and-islands on the running maximum of the ends. It runs in two levels: first inside bins
-of coordinates, which spreads one contig over many tasks, then over the bins' hulls, of which there are
-few. That gives the same islands, since a cluster is only known by its hull.
+of coordinates, which spreads one contig over many tasks, then from bin to bin, of which only the largest end
+is carried on: what starts within reach of it belongs to the last island that began before the bin. So no
+task holds more than a bin, or one row for each bin of a contig.
 
 Overlaps are joins on (contig, bin): both sides are listed in the bins they touch, so a contig with a third
 of all rows is spread too. Nothing is broadcast unless Spark finds it small.
@@ -42,18 +43,31 @@ def local_islands(regions: DataFrame, distance: int = 0, by: tuple[str, ...] = (
     return _islands(regions.withColumn("_bin", _bin("start", bin_size)), [*by, "_bin"], distance, "_local")
 
 
+def _across(hulls: DataFrame, distance: int, by: tuple[str, ...]) -> DataFrame:
+    """Local islands' hulls (by, _bin, _local, start, end, ...) with the number of the island that each belongs to."""
+    own = [*by, "_bin"]
+    bins = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    number = (F.col("_bin") * F.lit(1 << 32) + F.col("_local")).alias("island")
+    reach = hulls.groupBy(*own).agg(F.max("end").alias("_top")).select(*own, F.max("_top").over(bins).alias("_reach"))
+    rows = hulls.join(reach, own).withColumn("_head", F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + F.lit(distance)))
+    last = rows.groupBy(*own).agg(F.max(F.when(F.col("_head"), number)).alias("_last"))
+    before = last.select(*own, F.last("_last", ignorenulls=True).over(bins).alias("_before"))
+    rows = rows.join(before, own).withColumn("island", F.when(F.col("_head"), number).otherwise(F.col("_before")))
+    return rows.drop("_reach", "_head", "_before")
+
+
 def join_hulls(hulls: DataFrame, distance: int = 0, by: tuple[str, ...] = ("tid",)) -> DataFrame:
     """Local islands' hulls (by, _bin, _local, start, end) with island, island_start and island_end."""
-    rows = _islands(hulls, list(by), distance, "island")
-    whole = Window.partitionBy(*by, "island")
-    return rows.withColumn("island_start", F.min("start").over(whole)).withColumn("island_end", F.max("end").over(whole))
+    rows = _across(hulls, distance, by)
+    whole = rows.groupBy(*by, "island").agg(F.min("start").alias("island_start"), F.max("end").alias("island_end"))
+    return rows.join(whole, [*by, "island"])
 
 
 def merge_within(regions: DataFrame, distance: int = 0, by: tuple[str, ...] = ("tid",), bin_size: int = MERGE_BIN) -> DataFrame:
     """(by, start, end, n): clusters of regions at most distance apart, with the number of regions in each."""
     local = local_islands(checked(regions), distance, by, bin_size)
     hulls = local.groupBy(*by, "_bin", "_local").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-    joined = _islands(hulls, list(by), distance, "island")
+    joined = _across(hulls, distance, by)
     return joined.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.schema import SUMMARY
 
@@ -10,12 +10,15 @@ from quillon.schema import SUMMARY
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): the lines of a file from 0, without line ends.
 
-    Numbers are the place of a line in its part of the file plus the lines before that part.
+    A line's number is its place in its part of the file plus the lines of the parts before, of which there is one row each.
     """
-    rows = spark.read.text(path, lineSep="\n")
-    numbered = rows.rdd.map(lambda r: r.value).zipWithIndex().map(lambda p: (p[1], p[0]))
-    lines = spark.createDataFrame(numbered, "line_no long, value string")
-    return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    rows = spark.read.text(path, lineSep="\n").withColumn("at", F.monotonically_increasing_id())
+    rows = rows.select("value", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0).cast("long")).alias("first"))
+    lines = rows.join(F.broadcast(starts), "part")
+    return lines.select((F.col("first") + F.col("place")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def data_lines(spark: SparkSession, path: str, header: bool = True) -> tuple[str | None, DataFrame]:
