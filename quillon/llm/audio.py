@@ -4,28 +4,28 @@ A recording's frames become twelve pitch-class energies. Filters that compare su
 an integral image of pitch class by frame, give a two-bit Gray code each; sixteen of them make one packed
 integer for each frame. To align recordings, both 16-bit halves of a query's integers are indexed by
 value; equal halves vote for an offset, the offset with the most votes is chosen, and the bit errors of the
-integers that overlap there decide. Queries are taken in blocks of QUERY_BLOCK recordings, each block's
-index is broadcast, and every recording is held against it.
+integers that overlap there decide. Recordings of equal integers count once, among the queries and among
+all. Both are packed into blocks of about BLOCK bytes of integers, and each block of recordings meets each block
+of queries, which is indexed there; the votes of about STEP postings are counted at once. Every alignment that
+passes is in the result, by the smallest id of the queries that share its integers and their number.
 
 Cases: a null or unreadable medium has no frames, one shorter than WIDEST frames no integers, and both match
 nothing; silence gives integers of its own and aligns with silence; repeated rows each give a row; a null
 id is passed on and is no query; an empty table gives an empty result; extra columns are ignored; ties in
 votes go to the least offset in size, then the negative one; ties between queries go to the fewest errors a
-bit, then the longest overlap, then the smallest id.
+bit, then the longest overlap, then the smallest id. PCM of 8, 16, 24 and 32 bits can be read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
-import math
 import wave
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import materialize, project, table
+from quillon.llm.common import joined, materialize, project, table
 
 FRAME, HOP = 1024, 341
 LOWEST, HIGHEST = 100.0, 1800.0
@@ -40,23 +40,30 @@ FILTERS = (
 )
 STEPS = (-0.2, 0.0, 0.2)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-QUERY_BLOCK, MIN_VOTES, MIN_OVERLAP, MAX_ERRORS = 1000, 3, 30, 0.2
+MIN_VOTES, MIN_OVERLAP, MAX_ERRORS = 3, 30, 0.2
+#: bytes of integers that meet at once on each side, about, and postings whose votes are counted at once
+BLOCK, STEP = 256_000, 4_000_000
 
 
 # --- fingerprints --------------------------------------------------------------------------------
 
 
 def read_wave(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and their rate, of 16-bit PCM; nothing if the medium can't be read."""
+    """Mono samples in -1..1 and their rate, of PCM; nothing if the medium can't be read."""
     try:
         with wave.open(io.BytesIO(data or b"")) as file:
-            if file.getsampwidth() != 2:
-                return np.zeros(0), file.getframerate()
-            flat = np.frombuffer(file.readframes(file.getnframes()), "<i2").astype(float) / 32768
-            channels = file.getnchannels()
-            return flat[: len(flat) // channels * channels].reshape(-1, channels).mean(axis=1), file.getframerate()
+            width, channels, rate = file.getsampwidth(), file.getnchannels(), file.getframerate()
+            raw = np.frombuffer(file.readframes(file.getnframes()), np.uint8)
     except (wave.Error, EOFError):
         return np.zeros(0), 0
+    raw = raw[: len(raw) // (width * channels) * width * channels].reshape(-1, width)
+    if width == 1:
+        flat = (raw[:, 0].astype(float) - 128) / 128
+    else:  # little-endian integers, moved to the upper bytes of 32 bits
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - min(width, 4) :] = raw[:, -4:]
+        flat = wide.view("<i4")[:, 0] / 2.0**31
+    return flat.reshape(-1, channels).mean(axis=1), rate
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
@@ -139,17 +146,32 @@ class QueryIndex:
         self.keys, self.query, self.place = flat[order], query[order], place[order]
         self.span = max([len(p) for p in prints], default=0) + 1
 
+    def votes(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of (query, offset) in order, and how many equal halves vote for each; STEP postings at a time."""
+        keys, n = halves(prints), len(prints)
+        lo = np.searchsorted(self.keys, keys, "left")
+        count = np.searchsorted(self.keys, keys, "right") - lo
+        place, width = np.tile(np.arange(n), 2), self.span + n + 1
+        code, votes, first = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        ends = np.cumsum(count)
+        while first < len(keys):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right")))
+            some, many = lo[first:last], count[first:last]
+            posting = np.repeat(some - np.cumsum(many) + many, many) + np.arange(many.sum())
+            mine = np.repeat(place[first:last], many)
+            more, n_more = np.unique(self.query[posting] * width + (self.place[posting] - mine + n), return_counts=True)
+            code, back = np.unique(np.concatenate([code, more]), return_inverse=True)
+            votes = np.bincount(back, np.concatenate([votes, n_more]), len(code)).astype(np.int64)
+            first = last
+        return code, votes
+
     def matches(self, prints: np.ndarray):
         """(query id, offset, overlap, bit errors) of the queries that align: the query's place is the recording's plus offset."""
-        keys, n = halves(prints), len(prints)
-        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        count = hi - lo
-        if not count.sum():
-            return
-        posting = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        mine = np.repeat(np.tile(np.arange(n), 2), count)
+        n = len(prints)
         width = self.span + n + 1
-        code, votes = np.unique(self.query[posting] * width + (self.place[posting] - mine + n), return_counts=True)
+        code, votes = self.votes(prints)
+        if not len(code):
+            return
         query, offset = code // width, code % width - n
         order = np.lexsort((offset, np.abs(offset), -votes, query))
         first = order[np.unique(query[order], return_index=True)[1]]
@@ -176,46 +198,78 @@ def fingerprints(media: DataFrame, decode, id_col: str, media_col: str) -> DataF
     return rows.mapInArrow(run, "id long, n_frames long, prints binary")
 
 
-def align(spark: SparkSession, known: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of the stored table known (id, n_frames, prints) with the number of queries that align with it, and the best.
+def _in_blocks(rows: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """Stored rows with prints as (block, held): arrays of rows of about BLOCK bytes of prints; and the number of blocks."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("prints") + 16), F.lit(0)).alias("n")).collect()[0].n
+    n = max(1, -(-size // BLOCK))
+    block = F.pmod(F.xxhash64("prints"), F.lit(n)).alias("block")
+    return rows.groupBy(block).agg(F.collect_list(F.struct(*columns, "prints")).alias("held")), n  # a block of bounded size
 
-    queries has the same columns; a recording is not held against itself.
-    """
-    queries = materialize(spark, queries.where("id is not null").select("id", "prints").distinct(), "queries")
-    n = queries.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    out = known.select("id", "n_frames", "prints", F.lit(0).cast("long").alias("n_matches"), *[F.lit(None).cast("long").alias(c) for c in ("best_query", "best_offset", "best_overlap", "best_errors")])
-    ordered = queries.repartitionByRange(blocks, "id") if blocks > 1 else queries
-    kept = materialize(spark, ordered.withColumn("block", F.spark_partition_id() if blocks > 1 else F.lit(0)), "query-blocks")
-    for b in sorted(r.block for r in kept.select("block").distinct().collect()):
-        rows = kept.where(F.col("block") == b).toArrow()
-        index = QueryIndex(rows.column("id").to_pylist(), [np.frombuffer(x, "<u4") for x in rows.column("prints").to_pylist()])
-        out = _held_against(out, spark.sparkContext.broadcast(index))
-    return out
 
+def alignments(spark: SparkSession, known: DataFrame, queries: DataFrame) -> DataFrame:
+    """(key, matches) of the prints of known (id, prints) that align with prints of queries (id, prints): a row for each key and block of queries.
+
+    key is a hash of the prints; matches are (query, offset, overlap, errors), query being the smallest id that has its prints.
+    """
+    key = F.sha2(F.col("prints"), 256).alias("key")
+    enough = F.octet_length("prints") >= 4 * MIN_OVERLAP
+    mine = materialize(spark, known.where(enough).select("prints").distinct(), "distinct-prints")
+    theirs = materialize(spark, queries.where(enough & F.col("id").isNotNull()).groupBy("prints").agg(F.min("id").alias("id")), "query-prints")
+    rows, n_rows = _in_blocks(mine.select(key, "prints"), "key")
+    asked, n_asked = _in_blocks(theirs, "id")
+    number = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    met = rows.withColumnRenamed("held", "rows").withColumn("asked", F.explode(number(n_asked)))
+    other = asked.select(F.col("block").alias("asked"), "held").withColumn("block", F.explode(number(n_rows)))
+    met = met.join(other.hint("shuffle_merge"), ["block", "asked"]).select("rows", "held")
 
-def _held_against(rows: DataFrame, index) -> DataFrame:
     def run(batches):
-        tool = index.value
         for batch in batches:
-            out = []
-            for row, prints, n, *best in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), *(c.to_pylist() for c in batch.columns[3:])):
-                rank = _rank(*best) if best[0] is not None else None
-                for found in tool.matches(np.frombuffer(prints, "<u4")):
-                    if found[0] != row:
-                        n += 1
-                        if rank is None or _rank(*found) < rank:
-                            rank, best = _rank(*found), list(found)
-                out.append((n, *best))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=rows_names)
+            for mine, held in zip(batch.column(0), batch.column(1)):
+                read = lambda x: [np.frombuffer(p, "<u4") for p in x.values.field(1).to_pylist()]
+                index = QueryIndex(held.values.field(0).to_pylist(), read(held))
+                found = [(k, list(index.matches(p))) for k, p in zip(mine.values.field(0).to_pylist(), read(mine))]
+                found = [(k, [dict(zip(("query", "offset", "overlap", "errors"), m)) for m in ms]) for k, ms in found if ms]
+                kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("query", "offset", "overlap", "errors")]))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([ms for _, ms in found], kind)], names=["key", "matches"])
 
-    rows_names = rows.columns
-    return rows.mapInArrow(run, rows.schema)
+    return met.mapInArrow(run, "key string, matches array<struct<query:long,offset:long,overlap:long,errors:long>>")
 
 
-def _rank(query: int, offset: int, overlap: int, bits: int) -> tuple:
-    return bits / (32 * overlap), -overlap, query
+def align(spark: SparkSession, known: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of the stored table known (id, n_frames, prints) with all queries that align with it.
+
+    queries has columns id and prints too. The columns added: matches, an array of (query, n, offset, overlap,
+    errors) by query: the smallest id other than the row's own of n queries of the same prints; n_matches, the
+    number of queries; and the best match. A recording is not held against itself.
+    """
+    queries = materialize(spark, queries.where("id is not null").select("id", "prints").distinct(), "queries")
+    key = F.sha2(F.col("prints"), 256)
+    low = queries.groupBy("prints").agg(F.min("id").alias("query"), F.count("*").alias("n"))
+    second = queries.join(low, "prints").where("id <> query").groupBy("query").agg(F.min("id").alias("second"))
+    shared = materialize(spark, low.select("query", "n", key.alias("own_key")).join(second, "query", "left"), "query-groups")
+    found = materialize(spark, alignments(spark, known, queries), "alignments")
+    entry = joined(found.select("key", F.explode("matches").alias("m")).select("key", "m.*"), shared, "query")
+    plain = F.struct("query", "n", "offset", "overlap", "errors", "second", (F.col("own_key") == F.col("key")).alias("same"))
+    by_key = entry.groupBy("key").agg(F.array_sort(F.collect_list(plain)).alias("all"))  # the distinct queries of one recording: what was asked for
+    by_key = materialize(spark, by_key, "matches")
+    is_query = materialize(spark, queries.select("id").distinct().withColumn("is_query", F.lit(True)), "query-ids")
+    rows = joined(known.withColumn("key", key), is_query, "id", how="left")
+    rows = joined(rows, by_key, "key", how="left")
+
+    def others(m):
+        itself = m["same"] & F.coalesce(F.col("is_query"), F.lit(False))
+        n = m["n"] - F.when(itself, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        query = F.when(itself & (m["query"] == F.col("id")), m["second"]).otherwise(m["query"])
+        return F.struct(query.alias("query"), n.alias("n"), m["offset"].alias("offset"), m["overlap"].alias("overlap"), m["errors"].alias("errors"))
+
+    matches = F.coalesce(F.filter(F.transform("all", others), lambda m: m["n"] > 0), F.array().cast("array<struct<query:long,n:long,offset:long,overlap:long,errors:long>>"))
+    rows = rows.withColumn("matches", matches)
+    rank = lambda m: F.struct(m["errors"] / (32 * m["overlap"]), -m["overlap"], m["query"], m["offset"], m["errors"])
+    best = F.array_min(F.transform("matches", rank))
+    names = ("best_query", "best_offset", "best_overlap", "best_errors")
+    values = (best["query"], best["offset"], -best["col2"], best["errors"])
+    n_matches = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["n"])
+    return rows.select("id", "n_frames", "prints", n_matches.alias("n_matches"), *[v.alias(x) for v, x in zip(values, names)], "matches")
 
 
 # --- the query's recordings ------------------------------------------------------------------------
@@ -248,4 +302,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = materialize(spark, fingerprints(media, lambda v: read_wave(recording(v)), "vec_id", "embedding"), "prints")
     found = align(spark, known, known.where("id % 100 = 0"))
     digest = F.sha2(F.col("prints"), 256).alias("prints_sha256")
-    return found.select(F.col("id").alias("vec_id"), "n_frames", (F.octet_length("prints") / 4).cast("long").alias("n_prints"), digest, *found.columns[3:])
+    listed = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["query"], m["n"], m["offset"], m["overlap"], m["errors"])), ",")
+    return found.select(F.col("id").alias("vec_id"), "n_frames", (F.octet_length("prints") / 4).cast("long").alias("n_prints"), digest, *found.columns[3:-1], listed.alias("matches"))
