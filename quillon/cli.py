@@ -70,6 +70,7 @@ def _report(command: str, metrics) -> None:
 def run_profile(spark, args) -> None:
     from pyspark.sql import DataFrame
 
+    from quillon.operators.intervals import merge_regions
     from quillon.plans.profile import profile
     from quillon.sources import alignments, paths, text, writers
 
@@ -81,12 +82,13 @@ def run_profile(spark, args) -> None:
     exclude = text.read_bed(spark, args.exclude_bed, contigs) if args.exclude_bed else None
     if sinks.isEmpty():
         log.warning("%s holds no regions", args.sink_bed)
-    reads = alignments.read_alignments(spark, args.input, args.reference)
+    reads = alignments.read_alignments(spark, args.input, args.reference, regions=merge_regions(sinks))
     found = profile(reads, contigs, sinks, exclude, params, DataFrame.persist)  # the reads are scanned once
     writers.write_json(found.summary, args.summary)
     written = 0
     if args.output:
         written = alignments.write_bam(found.candidates, contigs, args.output, alignments.header_text(args.input))
+        alignments.write_index(args.output)
     _report("profile", lambda: found.metrics.drop("kept_clusters").collect()[0].asDict() | found.observed.get | {"written": written})
     found.candidates.unpersist()
 

@@ -3,6 +3,9 @@
     spark.dataSource.register(AlignmentSource)
     spark.read.format("alignments").load("reads.bam")
 
+With regions, and an index beside the file (reads.bam.bai or reads.bai), only the chunks that the index names
+for the regions are read, which hold all records that overlap them and some others.
+
 A BAM split begins at the first compressed block in its range and, from there on, at the first place from which a
 chain of records can be read, in whatever block that is; it ends with the last record that begins in its range. ord is a record's
 virtual offset (block offset and place in the block), in SAM the line's byte offset, so the order of
@@ -269,6 +272,127 @@ def bam_records(path: str, start: int, stop: int):
             yield decode(path, at, stream.take(struct.unpack("<i", stream.take(4))[0]))
 
 
+def bam_chunk(path: str, begin: int, end: int):
+    """Rows of the records whose virtual offsets are in begin..end-1."""
+    with _open(path) as file:
+        stream = Stream(Blocks(file, begin >> 16))
+        stream.need(begin & 0xFFFF)
+        stream.at = begin & 0xFFFF
+        while stream.need(4) and (at := stream.virtual()) < end:
+            yield decode(path, at, stream.take(struct.unpack("<i", stream.take(4))[0]))
+
+
+# --- the index of a BAM file ---------------------------------------------------------------------
+
+# Fixed values of the format: bins of 512 Mb, 64 Mb, 8 Mb, 1 Mb, 128 kb and 16 kb, numbered in this order, and windows of 16 kb.
+_BIN_SHIFTS, _WINDOW_SHIFT, _NO_BIN = (29, 26, 23, 20, 17, 14), 14, 37450
+
+
+def bins_over(start: int, end: int) -> list[int]:
+    """All bins that overlap start..end-1."""
+    out, first = [], 0
+    for level, shift in enumerate(_BIN_SHIFTS):
+        out += range(first + (start >> shift), first + ((max(end, start + 1) - 1) >> shift) + 1)
+        first += 1 << (3 * level)
+    return out
+
+
+def bin_of(start: int, end: int) -> int:
+    """The smallest bin that holds start..end-1."""
+    last, first = max(end, start + 1) - 1, sum(1 << (3 * level) for level in range(len(_BIN_SHIFTS)))
+    for level in range(len(_BIN_SHIFTS) - 1, -1, -1):
+        first -= 1 << (3 * level)
+        if start >> _BIN_SHIFTS[level] == last >> _BIN_SHIFTS[level]:
+            return first + (start >> _BIN_SHIFTS[level])
+    return 0
+
+
+def write_index(path: str) -> str:
+    """Index a BAM file in the order of contig and place: path.bai, which other tools read, too. One pass on the driver."""
+    system, inner = file_system(path)
+    with _open(path) as file:
+        stream = Stream(Blocks(file, 0))
+        contigs = read_header(stream)[1]
+        chunks: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
+        windows: list[dict[int, int]] = [{} for _ in contigs]
+        last, loose = (-1, -1), 0
+        while stream.need(4):
+            begin = stream.virtual()
+            row = decode(path, begin, stream.take(struct.unpack("<i", stream.take(4))[0]))
+            stream.need(1)
+            end, tid, pos, stop = stream.virtual(), row[4], row[5], max(row[12], row[5] + 1)
+            if tid < 0 or pos < 0:
+                loose += 1
+                continue
+            if (tid, pos) < last:
+                raise ValueError(f"{path} is not in the order of contig and place")
+            last = tid, pos
+            held = chunks[tid].setdefault(bin_of(pos, stop), [])
+            if held and held[-1][1] == begin:
+                held[-1][1] = end
+            else:
+                held.append([begin, end])
+            for w in range(pos >> _WINDOW_SHIFT, (stop - 1 >> _WINDOW_SHIFT) + 1):
+                windows[tid].setdefault(w, begin)
+    out = [b"BAI\x01", struct.pack("<i", len(contigs))]
+    for bins, offsets in zip(chunks, windows):
+        out.append(struct.pack("<i", len(bins)))
+        for number, held in bins.items():
+            out.append(struct.pack("<Ii", number, len(held)) + b"".join(struct.pack("<QQ", *c) for c in held))
+        linear, before = [], 0
+        for w in range(max(offsets, default=-1) + 1):
+            before = offsets.get(w, before)
+            linear.append(before)
+        out.append(struct.pack(f"<i{len(linear)}Q", len(linear), *linear))
+    with system.open_output_stream(inner + ".bai") as file:
+        file.write(b"".join([*out, struct.pack("<Q", loose)]))
+    return path + ".bai"
+
+
+def find_index(path: str) -> str | None:
+    """The path of a BAM file's index, if there is one beside it."""
+    for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+        system, inner = file_system(name)
+        if system.get_file_info(inner).is_file:
+            return name
+    return None
+
+
+def indexed_chunks(index: str, regions: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges of virtual offsets, in order and apart, that hold all records that overlap the regions (tid, start, end)."""
+    with _open(index) as file:
+        data = file.read()
+    if data[:4] != b"BAI\x01":
+        raise ValueError(f"{index} is not an index of a BAM file")
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for tid, start, end in regions:
+        wanted.setdefault(tid, []).append((start, end))
+    at, found = 8, []
+    for tid in range(struct.unpack_from("<i", data, 4)[0]):
+        bins: dict[int, list[tuple[int, int]]] = {}
+        at += 4
+        for _ in range(struct.unpack_from("<i", data, at - 4)[0]):
+            number, n = struct.unpack_from("<Ii", data, at)
+            flat = struct.unpack_from(f"<{2 * n}Q", data, at + 8)
+            bins[number] = [*zip(flat[::2], flat[1::2])]
+            at += 8 + 16 * n
+        n = struct.unpack_from("<i", data, at)[0]
+        linear = struct.unpack_from(f"<{n}Q", data, at + 4)
+        at += 4 + 8 * n
+        bins.pop(_NO_BIN, None)  # counts, not records
+        for start, end in wanted.get(tid, ()):
+            window = start >> _WINDOW_SHIFT
+            least = linear[window] if window < n else linear[-1] if n else 0
+            found += [(max(a, least), b) for number in bins_over(start, end) for a, b in bins.get(number, ()) if b > least]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 # --- SAM -----------------------------------------------------------------------------------------
 
 
@@ -333,22 +457,49 @@ class Range(InputPartition):
         super().__init__((path, start, stop))
 
 
+class Chunks(InputPartition):
+    def __init__(self, path: str, chunks: list[tuple[int, int]]):
+        super().__init__((path, chunks))
+
+
 class AlignmentReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options["path"].split(",") if p]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        regions = options.get("regions")
+        self.regions = None if regions is None else [tuple(map(int, r.split(":"))) for r in regions.split(",") if r]
+
+    def _chunks(self, path: str, index: str):
+        """The index's chunks for the regions, so many to a task as make up a split."""
+        held, size = [], 0
+        for a, b in indexed_chunks(index, self.regions):
+            held.append((a, b))
+            size += (b >> 16) - (a >> 16) + (1 << 16)
+            if size >= self.split:
+                yield Chunks(path, held)
+                held, size = [], 0
+        if held:
+            yield Chunks(path, held)
 
     def partitions(self):
         out = []
         for path in self.paths:
+            index = find_index(path) if self.regions is not None and is_bam(path) else None
+            if index is not None:
+                out += self._chunks(path, index)
+                continue
             with _open(path) as file:
                 size = file.size()
             out += [Range(path, a, min(a + self.split, size)) for a in range(0, max(size, 1), self.split)]
         return out
 
     def read(self, partition):
-        path, start, stop = partition.value
-        rows = (bam_records if is_bam(path) else sam_records)(path, start, stop)
+        if isinstance(partition, Chunks):
+            path, chunks = partition.value
+            rows = (row for a, b in chunks for row in bam_chunk(path, a, b))
+        else:
+            path, start, stop = partition.value
+            rows = (bam_records if is_bam(path) else sam_records)(path, start, stop)
         kept = []
         for row in rows:
             kept.append(row)
@@ -360,7 +511,7 @@ class AlignmentReader(DataSourceReader):
 
 
 class AlignmentSource(DataSource):
-    """Option path: files with commas between; splitBytes; reference (for CRAM)."""
+    """Option path: files with commas between; splitBytes; reference (for CRAM); regions: tid:start:end with commas between."""
 
     @classmethod
     def name(cls):
@@ -405,9 +556,18 @@ def header_text(path: str) -> str:
         return "".join(lines)
 
 
-def read_alignments(spark: SparkSession, path: str, reference: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+#: regions that are looked up in an index; with more all records are read
+MOST_REGIONS = 100_000
+
+
+def read_alignments(spark: SparkSession, path: str, reference: str | None = None, split_bytes: int = SPLIT_BYTES, regions: DataFrame | None = None) -> DataFrame:
+    """Rows of READS. With regions (tid, start, end) and an index at least the records that overlap these, without one all."""
     spark.dataSource.register(AlignmentSource)
     options = {"splitBytes": str(split_bytes)} | ({"reference": reference} if reference is not None else {})
+    if regions is not None:
+        wanted = regions.select("tid", "start", "end").limit(MOST_REGIONS + 1).collect()
+        if len(wanted) <= MOST_REGIONS:
+            options["regions"] = ",".join(f"{r.tid}:{r.start}:{r.end}" for r in wanted)
     return spark.read.format("alignments").options(**options).load(path)
 
 

@@ -87,6 +87,42 @@ def test_long_reads_in_splits(tmp_path, sizes):
         assert [x[1] for x in got] == sorted({x[1] for x in got})
 
 
+def test_bins():
+    for start, end, bin_ in ((0, 1, 4681), (0, 1 << 14, 4681), (0, (1 << 14) + 1, 585), ((1 << 17) - 1, (1 << 17) + 1, 73), (0, 1 << 29, 0), (1 << 28, (1 << 28) + 5, 4681 + (1 << 14))):
+        assert alignments.bin_of(start, end) == bin_ and bin_ in alignments.bins_over(start, end)
+
+
+def test_regions_by_index(spark, tmp_path):
+    """With an index a few regions cost a few blocks, and no record that overlaps them is lost."""
+    r = random.Random(4)
+    rows = []
+    for i in range(4000):
+        n = r.choice((60, 100, 0))
+        seq, gap = "".join(r.choices("ACGT", k=n)), r.choice((0, 0, 0, 40_000))
+        tid, pos = r.choice((-1, 0, 0, 1)), r.randint(0, 3_000_000)
+        tid, pos = (tid, pos) if tid >= 0 else (-1, -1)
+        cigar = (f"{n // 2}M{gap}N{n - n // 2}M" if gap else f"{n}M") if n else "*"
+        rows.append(("x", i, f"q{i}", 1, tid, pos, 5, cigar, -1, -1, seq, bytearray([30] * n), pos + n + (gap if n else 0)))
+    contigs = spark.createDataFrame([(0, "chr1", 4_000_000), (1, "chr2", 4_000_000)], "tid int, name string, length long")
+    path = str(tmp_path / "r.bam")
+    alignments.write_bam(spark.createDataFrame(rows, READS).orderBy("ord"), contigs, path)
+    wanted = [(0, 100, 20_000), (0, 1_000_000, 1_000_400), (0, 2_999_000, 3_100_000), (1, 500_000, 500_001), (1, 3_900_000, 3_950_000)]
+    regions = spark.createDataFrame(wanted, "tid int, start long, end long")
+    hit = lambda x: any(x[4] == t and x[5] < e and s < max(x[12], x[5] + 1) for t, s, e in wanted)
+    want = sorted(x[2] for x in rows if hit(x))
+    read = lambda: [tuple(x) for x in alignments.read_alignments(spark, path, split_bytes=5000, regions=regions).collect()]
+    assert len(read()) == len(rows)  # no index yet
+    with pytest.raises(FileNotFoundError):
+        alignments.write_index(path + ".none")
+    alignments.write_index(path)
+    got = read()
+    assert sorted(x[2] for x in got if hit(x)) == want and len({x[1] for x in got}) == len(got) < len(rows) / 3
+    chunks = alignments.indexed_chunks(path + ".bai", wanted)
+    assert sum((b >> 16) - (a >> 16) for a, b in chunks) < os.path.getsize(path) / 3
+    assert all(a[1] < b[0] for a, b in zip(chunks, chunks[1:]))
+    assert alignments.indexed_chunks(path + ".bai", []) == []
+
+
 def test_paths():
     assert [paths.is_cram_path(p) for p in ("a.cram", "A.CRAM?x#y", "a.bam", "s3://b/c.cram#f", "a.cram.crai")] == [True, True, False, True, False]
     assert [paths.output_format(*a) for a in (("x.cram",), ("x.CrAm",), ("x",), ("x.sam",), ("x.cram", "bam"))] == ["cram", "cram", "bam", "bam", "bam"]
@@ -107,6 +143,9 @@ def test_command_line(spark, tmp_path):
     assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("p.json"), "-o", at("c.bam")) == 0
     assert json.load(open(at("p.json"))) == [{"chrom": "chr1", "start": 3000, "end": 3155, "irr_count": 2, "motifs": {"AGC": 2}}]
     assert alignments.read_alignments(spark, at("c.bam")).count() == 2
+    alignments.write_index(at("r.bam"))  # the same by index
+    assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("q.json"), "-o", at("d.bam")) == 0
+    assert open(at("q.json")).read() == open(at("p.json")).read() and open(at("d.bam"), "rb").read() == open(at("c.bam"), "rb").read()
     assert alignments.header_text(at("c.bam")) == alignments.header_text(at("r.bam"))
     (tmp_path / "m.tsv").write_text(f"A\t{at('p.json')}\nB\t{at('p.json')}\n")
     (tmp_path / "d.tsv").write_text("A\t20\nB\t10\n")
