@@ -87,8 +87,10 @@ def run_profile(spark, args) -> None:
     writers.write_json(found.summary, args.summary)
     written = 0
     if args.output:
-        written = alignments.write_bam(found.candidates, contigs, args.output, alignments.header_text(args.input))
-        alignments.write_index(args.output)
+        write = alignments.write_cram if out == "cram" else alignments.write_bam
+        written = write(found.candidates, contigs, args.output, alignments.header_text(args.input))
+        if out == "bam":
+            alignments.write_index(args.output)
     _report("profile", lambda: found.metrics.drop("kept_clusters").collect()[0].asDict() | found.observed.get | {"written": written})
     found.candidates.unpersist()
 

@@ -1,4 +1,4 @@
-"""Alignment files as a Spark data source: SAM text and BAM, split by bytes; and writers for both.
+"""Alignment files as a Spark data source: SAM text and BAM, split by bytes, and CRAM, by containers; and writers for them.
 
     spark.dataSource.register(AlignmentSource)
     spark.read.format("alignments").load("reads.bam")
@@ -9,7 +9,7 @@ for the regions are read, which hold all records that overlap them and some othe
 A BAM split begins at the first compressed block in its range and, from there on, at the first place from which a
 chain of records can be read, in whatever block that is; it ends with the last record that begins in its range. ord is a record's
 virtual offset (block offset and place in the block), in SAM the line's byte offset, so the order of
-records in a file is known whatever the splits. CRAM needs a codec that is not installed and is refused.
+records in a file is known whatever the splits. in CRAM, whose paths end in .cram, it is the record's number.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillon.schema import READS
+from quillon.sources import cram
 from quillon.sources.paths import check_reference, is_cram_path
 from quillon.sources.writers import Counted, file_system
 
@@ -462,8 +463,25 @@ class Chunks(InputPartition):
         super().__init__((path, chunks))
 
 
+class Containers(InputPartition):
+    def __init__(self, path: str, held: list[tuple[int, int, int]]):
+        super().__init__((path, held))
+
+
+def cram_records(path: str, held: list[tuple[int, int, int]], reference: str | None):
+    """Rows of the records of containers (place, size, number of the first record)."""
+    with _open(path) as file:
+        names = [name for name, _ in _contigs_of_text(cram.header_text(file)[0])]
+        fetch = cram.Fasta(lambda: _open(reference), names) if reference else None
+        for place, size, counter in held:
+            file.seek(place)
+            for number, *row in cram.container_records(file.read(size), counter, fetch):
+                yield (path, number, *row)
+
+
 class AlignmentReader(DataSourceReader):
     def __init__(self, options):
+        self.reference = options.get("reference") or None
         self.paths = [p for p in options["path"].split(",") if p]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
         regions = options.get("regions")
@@ -481,9 +499,24 @@ class AlignmentReader(DataSourceReader):
         if held:
             yield Chunks(path, held)
 
+    def _containers(self, path: str):
+        held, size = [], 0
+        with _open(path) as file:
+            for found in cram.containers(file):
+                held.append(found)
+                size += found[1]
+                if size >= self.split:
+                    yield Containers(path, held)
+                    held, size = [], 0
+        if held:
+            yield Containers(path, held)
+
     def partitions(self):
         out = []
         for path in self.paths:
+            if is_cram_path(path):
+                out += self._containers(path)
+                continue
             index = find_index(path) if self.regions is not None and is_bam(path) else None
             if index is not None:
                 out += self._chunks(path, index)
@@ -497,6 +530,8 @@ class AlignmentReader(DataSourceReader):
         if isinstance(partition, Chunks):
             path, chunks = partition.value
             rows = (row for a, b in chunks for row in bam_chunk(path, a, b))
+        elif isinstance(partition, Containers):
+            rows = cram_records(*partition.value, self.reference)
         else:
             path, start, stop = partition.value
             rows = (bam_records if is_bam(path) else sam_records)(path, start, stop)
@@ -531,11 +566,16 @@ def is_bam(path: str) -> bool:
         return file.read(2) == b"\x1f\x8b"
 
 
+def _contigs_of_text(text: str) -> list[tuple[str, int]]:
+    tags = [dict(f.split(":", 1) for f in line.split("\t")[1:]) for line in text.split("\n") if line.startswith("@SQ\t")]
+    return [(t["SN"], int(t["LN"])) for t in tags]
+
+
 def contigs_of(spark: SparkSession, path: str) -> DataFrame:
     """(tid, name, length) in the header's order."""
     if is_cram_path(path):
-        check_reference("", cram=True)
-    if is_bam(path):
+        found = _contigs_of_text(header_text(path))
+    elif is_bam(path):
         with _open(path) as file:
             found = read_header(Stream(Blocks(file, 0)))[1]
     else:
@@ -546,6 +586,8 @@ def contigs_of(spark: SparkSession, path: str) -> DataFrame:
 def header_text(path: str) -> str:
     """The header lines of a file."""
     with _open(path) as file:
+        if is_cram_path(path):
+            return cram.header_text(file)[0]
         if file.read(2) == b"\x1f\x8b":
             return read_header(Stream(Blocks(file, 0)))[0]
         lines = []
@@ -638,6 +680,46 @@ def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None
     return count
 
 
+#: reads in a container of CRAM
+SLICE_READS = 5000
+
+
+def write_cram(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> int:
+    """Rows of READS, in the order of contig, place and ord, as one CRAM file that needs no reference; the number of rows.
+
+    Tasks encode slices; the driver numbers their records and strings them together.
+    """
+    text = _made_header([(r.name, r.length) for r in contigs.orderBy("tid").collect()]) if header is None else header
+
+    def slices(batches):
+        held = []
+        for batch in batches:
+            for row in map(_Read._make, zip(*(c.to_pylist() for c in batch.columns))):
+                held.append(row)
+                if len(held) >= SLICE_READS:
+                    yield _slice_batch(held)
+                    held = []
+        if held:
+            yield _slice_batch(held)
+
+    ordered = rows.select(*_Read._fields, "file_id", "ord").orderBy("tid", "pos", "file_id", "ord").select(*_Read._fields)
+    system, inner = file_system(path)
+    count = 0
+    with system.open_output_stream(inner) as file:
+        file.write(cram.file_start(text))
+        for r in ordered.mapInArrow(slices, "blocks binary, ids array<int>, records long, bases long").toLocalIterator():
+            file.write(cram.slice_container(bytes(r.blocks), r.ids, r.records, r.bases, count))
+            count += r.records
+        file.write(cram.file_end())
+    return count
+
+
+def _slice_batch(held: list) -> pa.RecordBatch:
+    blocks, ids, records, bases = cram.encode_slice(held)
+    columns = [pa.array([blocks], pa.binary()), pa.array([ids], pa.list_(pa.int32())), pa.array([records], pa.int64()), pa.array([bases], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["blocks", "ids", "records", "bases"])
+
+
 _BLOCK_BYTES = 0xFF00
 _Read = namedtuple("_Read", "qname flag tid pos mapq cigar mtid mpos seq qual")
 

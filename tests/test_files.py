@@ -128,8 +128,8 @@ def test_paths():
     assert [paths.output_format(*a) for a in (("x.cram",), ("x.CrAm",), ("x",), ("x.sam",), ("x.cram", "bam"))] == ["cram", "cram", "bam", "bam", "bam"]
     with pytest.raises(ValueError, match="--reference"):
         paths.check_reference(None, cram=True)
-    with pytest.raises(NotImplementedError):
-        paths.check_reference("x.fa", cram=True)
+    paths.check_reference("x.fa", cram=True)
+    paths.check_reference(None, cram=False)
 
 
 def test_command_line(spark, tmp_path):
@@ -147,6 +147,18 @@ def test_command_line(spark, tmp_path):
     assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("q.json"), "-o", at("d.bam")) == 0
     assert open(at("q.json")).read() == open(at("p.json")).read() and open(at("d.bam"), "rb").read() == open(at("c.bam"), "rb").read()
     assert alignments.header_text(at("c.bam")) == alignments.header_text(at("r.bam"))
+    # CRAM in and out: the same results, and a reference is asked for
+    (tmp_path / "x.fa").write_text(">chr1\n" + "ACGT" * 2500 + "\n")
+    alignments.write_cram(rows, contigs, at("r.cram"))
+    assert run("sinks", "-i", at("r.cram"), "-o", at("t.bed"), "-r", at("x.fa")) == 0 and open(at("t.bed")).read() == open(at("s.bed")).read()
+    assert run("sinks", "-i", at("r.cram"), "-o", at("t.bed")) == 1
+    assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.cram"), "--summary", at("u.json"), "-o", at("c.cram"), "-r", at("x.fa")) == 0
+    assert open(at("u.json")).read() == open(at("p.json")).read()
+    same = [plain(alignments.read_alignments(spark, at(n), at("x.fa")).orderBy("ord").select(*VALUES).collect()) for n in ("c.bam", "c.cram")]
+    assert same[0] == same[1] and len(same[0]) == 2
+    assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("u.json"), "-o", at("e.cram")) == 1
+    assert run("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("u.json"), "-o", at("e.out"), "--output-format", "cram", "-r", at("x.fa")) == 0
+    assert open(at("e.out"), "rb").read(4) == b"CRAM"
     (tmp_path / "m.tsv").write_text(f"A\t{at('p.json')}\nB\t{at('p.json')}\n")
     (tmp_path / "d.tsv").write_text("A\t20\nB\t10\n")
     assert run("merge", "--manifest", at("m.tsv"), "--output", at("m.json"), "--depths", at("d.tsv")) == 0
