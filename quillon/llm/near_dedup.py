@@ -9,34 +9,43 @@
    buckets, the pivots: first with the least of them, then with those that it isn't connected to. Pairs with a hopeless estimate (ESTIMATE of the slots equal, five standard deviations under
    the threshold) are dropped, the others are verified on the full sets.
 4. The links' components are made. Where a bucket still holds nodes of several components besides its
-   pivot, all pairs of different components in it are estimated, in blocks of bounded size. Only a forest
-   that connects what they connect goes on; it makes clusters, in which, again in blocks, the likely pairs
-   of different components are verified. So no pair that shares a bucket is left out unless it is connected
-   already, and no table holds all pairs of a group.
+   pivot, its minor nodes, those outside its largest component, are held against all its nodes: blocks of
+   bounded bytes stream past each block of minor nodes. A node passes on at most LINKS links that connect
+   what its block doesn't know as connected; one that would need more is held against all again in the next
+   round, when what was found is contracted. So a round gives at most LINKS + 1 rows for each node of a
+   bucket, and buckets with the same members count once. First this is done with likely pairs, which makes
+   clusters; then in each cluster with pairs verified on full sets. No pair that shares a bucket is left
+   out unless it is connected already.
 
 A pair at similarity 0.8 misses all of the 40 bands of 5 slots with probability 1.2e-7.
 
 Cases: null and empty texts and texts without words have no shingles and link with nothing; a text of
 fewer than k words has its whole sequence as its one shingle; rows with one doc_id are one document,
-linked if any of its texts links; a row without doc_id joins no group and its component_id and kept are
+which links the groups of all its texts; a row without doc_id joins no group and its component_id and kept are
 null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import NOT_SPACE, arrow_batches, blocks, grams, materialize, mix, project, small, table, text_bytes, words
+from quillon.llm.common import NOT_SPACE, arrow_batches, blocks, grams, joined, materialize, mix, project, small, table, text_bytes, words
 from quillon.llm.components import components
 
 SLOTS, ROWS = 200, 5
 BANDS = SLOTS // ROWS
 ESTIMATE = 0.65
 PERCENT = 80
-#: nodes of a bucket that are compared with one another at once
-SIDE = 256
+#: bytes of signatures and sets that are held against one another at once, about; and blocks that one task holds a block against
+BLOCK, CHUNK = 1 << 20, 64
+#: links that a node passes on in a round at most
+LINKS = 4
+#: sets that a set is held against at once
+STEP = 64
 #: ids that are broadcast at most; more are joined by shuffling
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -89,9 +98,8 @@ def slot_bytes(signature: np.ndarray) -> bytes:
 
 
 def set_key(elements: np.ndarray) -> bytes:
-    """128 bits that equal sets share."""
-    a, b = mix(elements).sum(dtype=_U), mix(elements ^ _U(_GOLDEN)).sum(dtype=_U)
-    return np.array([a, b + _U(len(elements))], dtype="<u8").tobytes()
+    """128 bits that equal sets share, of the elements in order."""
+    return blake2b(elements.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def _sets(column: pa.Array, k: int):
@@ -167,6 +175,15 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (few + many - shared)
 
 
+def alike_to(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """alike(x, y, percent) for each y of others, all sets being in order and not empty."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    shared = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * shared >= percent * (len(x) + sizes - shared)
+
+
 def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the stored pairs (a, b) whose full sets are alike."""
     sets = full_sets(spark, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, k)
@@ -181,96 +198,89 @@ def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, perce
     return both.mapInArrow(linked, "a long, b long").distinct()
 
 
-class Merged(dict):
-    """Union-find over labels that a task holds together."""
-
-    def root(self, x):
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def join(self, x, y) -> None:
-        x, y = self.root(x), self.root(y)
-        self[max(x, y)] = min(x, y)
-
-
-def _blocks_of(members: DataFrame, group: str) -> DataFrame:
-    """members (group, node, n, ...) in blocks: n nodes make ceil(n / SIDE) blocks by a hash of the node, and each two
-    blocks of a group, or one with itself, meet once as (group, lo, hi); so nothing holds more than about two blocks."""
-    sides = F.ceil(F.col("n") / SIDE).cast("int")
-    own = F.pmod(F.xxhash64("node"), sides).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    placed = placed.select(F.col(group).alias("group"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "sig", *[c for c in ("members",) if c in members.columns])
-    return placed.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-
-
-def _meetings(batches):
-    """The rows of each (group, lo, hi) in turn, as columns own, node, label, sig and what follows."""
-    held, key = [], None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != key:
-                if len(held) > 1:
-                    yield key, [*zip(*held)]
-                held, key = [], row[:3]
-            held.append(row[3:])
-    if len(held) > 1:
-        yield key, [*zip(*held)]
-
-
-def _likely_in(key, own, node, label, sig, *_):
-    """(i, places j > i) of the likely pairs of different labels in one meeting."""
-    own, node, label = np.array(own), np.array(node), np.array(label)
-    sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS)
-    same = key[1] == key[2]
-    for i in range(len(node) - 1):
-        j = np.flatnonzero((label[i + 1 :] != label[i]) & (same | (own[i + 1 :] != own[i]))) + i + 1
-        if len(j):
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= ESTIMATE * SLOTS]
-            if len(j):
-                yield i, j.tolist()
-
-
-def likely_forest(members: DataFrame) -> DataFrame:
-    """(a, b) that connect whatever the likely pairs of different labels in a bucket connect, and (a, a) for each node in such a pair.
-
-    members: (bucket, node, label, n, sig). Of a bucket's pairs only a forest goes on.
+class Block:
+    """Minor nodes of a group, that are held against the group's other blocks."""
+
+    def __init__(self, held: pa.StructArray):
+        self.node, self.label, self.size, self.sig, self.sets = columns_of(held)
+        self.code, self.connected = {}, np.zeros(0, np.int64)
+        self.own = self._codes(self.label)
+        self.given, self.more = np.zeros(len(self.node), np.int64), np.zeros(len(self.node), bool)
+
+    def _codes(self, labels: np.ndarray) -> np.ndarray:
+        """Each label's place in connected, which says what links so far connect."""
+        codes = np.array([self.code.setdefault(x, len(self.code)) for x in labels.tolist()], np.int64)
+        self.connected = np.concatenate([self.connected, np.arange(len(self.connected), len(self.code))])
+        return codes
+
+    def links(self, held: pa.StructArray, percent: int):
+        """(node, other) of links that connect more; likely ones if there are no sets, else verified ones."""
+        node, label, size, sig, sets = columns_of(held)
+        codes = self._codes(label)
+        for i in np.flatnonzero(~self.more):
+            few, many = np.minimum(size, self.size[i]), np.maximum(size, self.size[i])
+            at = np.flatnonzero((self.connected[codes] != self.connected[self.own[i]]) & (100 * few >= percent * many))
+            if len(at):
+                at = at[(sig[at] == self.sig[i]).sum(axis=1) >= ESTIMATE * SLOTS]
+            while len(at):
+                now, at = at[:STEP], at[STEP:]
+                if sets is not None:
+                    now = now[alike_to(self.sets[i], [sets[j] for j in now], percent)]
+                while len(now) and not self.more[i]:
+                    if self.given[i] == LINKS:
+                        self.more[i], at = True, at[:0]
+                        break
+                    self.given[i] += 1
+                    self.connected[self.connected == self.connected[codes[now[0]]]] = self.connected[self.own[i]]
+                    yield int(self.node[i]), int(node[now[0]])
+                    now, at = (x[self.connected[codes[x]] != self.connected[self.own[i]]] for x in (now, at))
+
+
+def columns_of(held: pa.StructArray):
+    """node, label, size, signatures as rows of bytes, and sets if there are any."""
+    node, label, size = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    sig = np.frombuffer(b"".join(held.field(3).to_pylist()), np.uint8).reshape(-1, SLOTS)
+    sets = [np.frombuffer(x, "<u8") for x in held.field(4).to_pylist()] if held.type.num_fields > 4 else None
+    return node, label, size, sig, sets
+
+
+def linked_in_blocks(spark: SparkSession, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between nodes of different labels that share a group, and the nodes that must be held against all again.
+
+    placed has (group, node, label, size, sig, own, n_all, n_own) and, for verified links, members: the set; n_all and
+    n_own are the blocks of a group's nodes and of its own nodes. Pairs of an own node with any node are looked
+    at; a pair that is left out is connected by links of its block, or its node is among those to come again.
     """
+    payload = [c for c in ("members",) if c in placed.columns]
+    held = F.collect_list(F.struct("node", "label", "size", "sig", *payload)).alias("held")  # a block of bounded size
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int").alias("block")
+    own = placed.where("own").groupBy("group", block(F.col("n_own")), "n_all").agg(held)
+    chunks = F.sequence(F.lit(0), F.ceil(F.col("n_all") / CHUNK).cast("int") - 1)
+    own = own.select("group", "block", F.explode(chunks).alias("chunk"), F.lit(0).alias("role"), "held")
+    others = placed.groupBy("group", block(F.col("n_all")), "n_own").agg(held)
+    chunk = F.floor(F.col("block") / CHUNK).cast("int").alias("chunk")
+    others = others.select("group", chunk, F.explode(F.sequence(F.lit(0), F.col("n_own") - 1)).alias("block"), F.lit(1).alias("role"), "held")
+    met = own.unionByName(others).repartition("group", "block", "chunk").sortWithinPartitions("group", "block", "chunk", "role")
 
     def compare(batches):
         def rows():
-            for key, columns in _meetings(batches):
-                node, label, seen, merged = columns[1], columns[2], set(), Merged()
-                for i, others in _likely_in(key, *columns):
-                    for j in others:
-                        seen |= {node[i], node[j]}
-                        if merged.root(label[i]) != merged.root(label[j]):
-                            merged.join(label[i], label[j])
-                            yield node[i], node[j]
-                yield from ((x, x) for x in seen)
-
-        yield from arrow_batches(rows(), {"a": pa.int64(), "b": pa.int64()})
-
-    return _blocks_of(members, "bucket").mapInArrow(compare, "a long, b long").distinct()
-
-
-def verified_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links that connect whatever verified pairs of different labels in a cluster connect. members: (cluster, node, label, n, sig, members)."""
-
-    def compare(batches):
-        def rows():
-            for key, columns in _meetings(batches):
-                node, label, merged = columns[1], columns[2], Merged()
-                sets = [np.frombuffer(x, "<u8") for x in columns[4]]
-                for i, others in _likely_in(key, *columns):
-                    for j in others:
-                        if merged.root(label[i]) != merged.root(label[j]) and alike(sets[i], sets[j], percent):
-                            merged.join(label[i], label[j])
-                            yield node[i], node[j]
+            mine = None
+            for batch in batches:
+                role, held = batch.column(3).to_pylist(), batch.column(4)
+                for i, r in enumerate(role):
+                    if r == 0:
+                        if mine is not None:
+                            yield from ((int(x), None) for x in mine.node[mine.more])
+                        mine = Block(held[i].values)
+                    else:
+                        yield from mine.links(held[i].values, percent)
+            if mine is not None:
+                yield from ((int(x), None) for x in mine.node[mine.more])
 
         yield from arrow_batches(rows(), {"a": pa.int64(), "b": pa.int64()})
 
-    return _blocks_of(members, "cluster").mapInArrow(compare, "a long, b long").distinct()
+    found = materialize(spark, met.mapInArrow(compare, "a long, b long").distinct(), "block-links")
+    return found.where("b is not null"), found.where("b is null").select(F.col("a").alias("node"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,6 +290,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
+def _of_one_id(spark: SparkSession, known: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links between the classes that hold a text of one doc_id, if any doc_id has texts of several classes."""
+    repeated = known.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    repeated = materialize(spark, repeated, "repeated")
+    if repeated.isEmpty():
+        return None
+    held = known.select("doc_id", "key").join(repeated, "doc_id").join(nodes, "key").select("doc_id", "node").distinct()
+    return materialize(spark, held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")), "one-id")
+
+
 def _grown(spark: SparkSession, links: DataFrame | None, pairs: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links so far with those that likely pairs verify, and their components."""
     pairs = materialize(spark, likely(pairs, signatures), "pairs")
@@ -288,21 +308,61 @@ def _grown(spark: SparkSession, links: DataFrame | None, pairs: DataFrame, signa
     return links, components(spark, links)
 
 
+def _labelled(members: DataFrame, labels: DataFrame, again: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """members (group, node, ...) with their labels and whether each is own, and the groups to look at: those of several labels.
+
+    Own are the nodes of again, or without it those outside their group's largest label. The groups have major,
+    the largest label, and the numbers of blocks that linked_in_blocks() needs.
+    """
+    weight = sum((F.octet_length(c) for c in ("sig", "members") if c in members.columns), F.lit(32)).cast("long")
+    rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if again is not None:
+        rows = rows.join(again.select("node", F.lit(True).alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    own = F.sum(F.when(F.col("own"), weight)) if again is not None else F.lit(0).cast("long")
+    by_label = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"), own.alias("own_bytes"))
+    largest = F.max_by(F.struct("label", "bytes"), F.struct("n", "label")).alias("major")
+    groups = by_label.groupBy("group").agg(largest, F.count("*").alias("labels"), F.sum("bytes").alias("bytes"), F.sum("own_bytes").alias("own_bytes")).where("labels > 1")
+    n_blocks = lambda size, name: F.ceil(size / BLOCK).cast("int").alias(name)
+    own_bytes = F.col("own_bytes") if again is not None else F.col("bytes") - F.col("major.bytes")
+    groups = groups.where(own_bytes > 0).select("group", F.col("major.label").alias("major"), n_blocks(F.col("bytes"), "n_all"), n_blocks(own_bytes, "n_own"))
+    return rows, groups
+
+
+def _all_linked(spark: SparkSession, links: DataFrame, labels: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links with those that linked_in_blocks() finds in round after round, and their components."""
+    again = None
+    while True:
+        rows, groups = _labelled(members, labels, again)
+        rows = joined(rows, materialize(spark, groups, "groups"), "group")
+        if again is None:
+            rows = rows.withColumn("own", F.col("label") != F.col("major"))
+        more, again = linked_in_blocks(spark, materialize(spark, rows.drop("major"), "labelled"), percent)
+        if more.isEmpty():
+            return links, labels
+        links = links.union(more)
+        labels = components(spark, links)
+        if again.isEmpty():
+            return links, labels
+
+
 def _completed(spark: SparkSession, links: DataFrame, labels: DataFrame, members: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """labels after all likely pairs of different labels that share a bucket were verified, in clusters of likely pairs."""
-    rest = members.where("n > 2 and node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("pivot")
-    rest = materialize(spark, rest, "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    forest = materialize(spark, likely_forest(rest.join(mixed, "bucket").join(signatures, "node")), "forest")
-    if forest.isEmpty():
+    rest = members.where("n > 2 and node <> pivot").select("bucket", "node")
+    rest = materialize(spark, rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
+    print_of = [F.sum(F.pmod(F.xxhash64(F.lit(i), "node"), F.lit((1 << 31) - 1))).alias(f"h{i}") for i in range(3)]
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *print_of).where("lo < hi")
+    mixed = materialize(spark, mixed.groupBy("n", "h0", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    rest = materialize(spark, joined(rest.drop("label"), mixed, "bucket").withColumnRenamed("bucket", "group"), "rest")
+    if rest.isEmpty():
+        return labels
+    near, cluster = _all_linked(spark, links, labels, materialize(spark, rest.join(signatures, "node"), "signed"), percent)
+    if near is links:
         return labels
-    cluster = components(spark, links.union(forest)).withColumnRenamed("label", "cluster")
-    taking = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct().join(cluster, "node")
-    taking = taking.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    taking = materialize(spark, taking, "taking").join(taking.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    taking = rest.select("node").distinct().join(cluster.withColumnRenamed("label", "group"), "node")
+    mixed = taking.join(labels, "node", "left").groupBy("group").agg(F.min(F.coalesce("label", "node")).alias("lo"), F.max(F.coalesce("label", "node")).alias("hi")).where("lo < hi")
+    taking = materialize(spark, joined(taking, materialize(spark, mixed.select("group"), "mixed"), "group"), "taking")
     sets = full_sets(spark, taking.select("node"), docs, k)
-    more = materialize(spark, verified_in_blocks(taking.join(signatures, "node").join(sets, "node"), percent), "verified")
-    return labels if more.isEmpty() else components(spark, links.union(more))
+    return _all_linked(spark, links, labels, materialize(spark, taking.join(signatures, "node").join(sets, "node"), "with-sets"), percent)[1]
 
 
 def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,8 +371,9 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = PERC
     rows = materialize(spark, sketches(docs, k), "sketches")
     known = rows.where("doc_id is not null and key is not null")
     nodes = materialize(spark, known.groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("rid")), "nodes")
-    classes = materialize(spark, known.select("key", "rid", "sig", "bands").join(nodes, ["key", "rid"]).select("node", "sig", "bands"), "classes")
-    signatures = classes.select("node", "sig")
+    classes = known.select("key", "rid", F.col("n_shingles").alias("size"), "sig", "bands").join(nodes, ["key", "rid"])
+    classes = materialize(spark, classes.select("node", "size", "sig", "bands"), "classes")
+    signatures = classes.select("node", "size", "sig")
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = materialize(spark, placed.join(shared, "bucket"), "members")
@@ -320,7 +381,7 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = PERC
     # each node with the least of its buckets' pivots, then with the others that it isn't connected to
     pivots = members.where("node > pivot")
     pairs = pivots.groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
-    links, labels = _grown(spark, None, pairs, signatures, docs, k, percent)
+    links, labels = _grown(spark, _of_one_id(spark, known, nodes), pairs, signatures, docs, k, percent)
     pairs = pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links, labels = _grown(spark, links, _apart(pairs, labels), signatures, docs, k, percent)
 

@@ -64,8 +64,10 @@ def test_against_brute_force(spark):
 
 
 def test_a_chain_of_near_misses(spark, monkeypatch):
-    """A large group of edited copies, of which many are alike only through others, in blocks of few nodes."""
-    monkeypatch.setattr(nd, "SIDE", 8)
+    """A large group of edited copies, of which many are alike only through others, in small blocks, few links a round."""
+    monkeypatch.setattr(nd, "BLOCK", 20_000)
+    monkeypatch.setattr(nd, "CHUNK", 2)
+    monkeypatch.setattr(nd, "LINKS", 1)
     r = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     docs = []
@@ -78,6 +80,50 @@ def test_a_chain_of_near_misses(spark, monkeypatch):
     assert got == want and len({g[2] for g in got}) > 1
 
 
+def bucket_of(spark, n, likely):
+    """n nodes of labels of their own in one bucket: all likely pairs, or none."""
+    r = np.random.default_rng(n)
+    sigs = np.zeros((n, nd.SLOTS), np.uint8) if likely else r.integers(0, 256, (n, nd.SLOTS)).astype(np.uint8)
+    n_blocks = -(-n * (nd.SLOTS + 32) // nd.BLOCK)
+    rows = [(1, i, i, 50, s.tobytes(), i > 0, n_blocks, n_blocks) for i, s in enumerate(sigs)]
+    frame = spark.createDataFrame(rows, "group long, node long, label long, size long, sig binary, own boolean, n_all int, n_own int")
+    return nd.materialize(spark, frame, "bucket")
+
+
+def test_rows_are_linear_in_the_members(spark, monkeypatch):
+    """Each doubling of a bucket gives at most LINKS + 1 rows for each own node, in blocks far smaller than the bucket."""
+    monkeypatch.setattr(nd, "BLOCK", 20_000)
+    for n in (500, 1000, 2000, 4000):
+        more, again = nd.linked_in_blocks(spark, bucket_of(spark, n, True), 80)
+        links = more.collect()
+        assert len(links) <= nd.LINKS * n and again.count() <= n
+        up = Merged(range(n))
+        for a, b in links:
+            up.join(a, b)
+        left = {up.root(i) for i in range(n)} - {up.root(x.node) for x in again.collect()}
+        assert len(left) <= 1  # all are connected, but for those that come again
+    more, again = nd.linked_in_blocks(spark, bucket_of(spark, 500, False), 80)
+    assert more.isEmpty() and again.isEmpty()
+
+
+class Merged(list):
+    def root(self, x):
+        while self[x] != x:
+            x = self[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+
+
+def test_texts_of_one_id_link_their_groups(spark):
+    """A doc_id with texts of two groups joins them, also where it is the smallest of neither."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(3, a), (5, a), (5, b), (4, b), (9, b), (7, "other words stand here"), (6, None)]
+    assert {(g[0], g[2]) for g in run(spark, docs, 4)} == {(3, 3), (4, 3), (5, 3), (9, 3), (7, 7), (6, 6)}
+
+
 def test_signatures():
     r = np.random.default_rng(0)
     for n in (1, 2, 7, 60, 400, 3000):
