@@ -91,7 +91,7 @@ def run_profile(spark, args) -> None:
         written = write(found.candidates, contigs, args.output, alignments.header_text(args.input))
         if out == "bam":
             alignments.write_index(args.output)
-    _report("profile", lambda: found.metrics.drop("kept_clusters").collect()[0].asDict() | found.observed.get | {"written": written})
+    _report("profile", lambda: found.metrics.drop("kept_clusters").collect()[0].asDict() | {"written": written})
     found.candidates.unpersist()
 
 
@@ -103,12 +103,10 @@ def run_sinks(spark, args) -> None:
     params = SinksParams(args.motif_min_len, args.motif_max_len, args.max_irr_mapq, args.min_anchor_mapq, args.merge_distance)
     found = sinks(alignments.read_alignments(spark, args.input, args.reference), alignments.contigs_of(spark, args.input), params)
     rows = writers.write_bed(found.regions, args.output)
-    _report("sinks", lambda: found.metrics.collect()[0].asDict() | found.observed.get | {"rows": rows})
+    _report("sinks", lambda: found.metrics.collect()[0].asDict() | {"rows": rows})
 
 
 def run_merge(spark, args) -> None:
-    from pyspark.sql import Observation, functions as F
-
     from quillon.plans.merge import merge
     from quillon.sources import text, writers
 
@@ -119,24 +117,21 @@ def run_merge(spark, args) -> None:
         log.warning("no depths: counts are not scaled")
     if manifest.isEmpty():
         log.warning("%s names no samples", args.manifest)
-    loci, seen = text.read_summaries(spark, manifest), Observation()
-    written = writers.write_json(merge(loci.observe(seen, F.count("*").alias("loci")), depths, params), args.output)
-    _report("merge", lambda: {"samples": (n := manifest.count()), "batches": -(-n // params.batch_size), "loci": seen.get["loci"], "clusters": written})
+    loci = text.read_summaries(spark, manifest).persist()
+    written = writers.write_json(merge(loci, depths, params), args.output)
+    _report("merge", lambda: {"samples": (n := manifest.count()), "batches": -(-n // params.batch_size), "loci": loci.count(), "clusters": written})
+    loci.unpersist()
 
 
 def run_sample(spark, args) -> None:
-    from pyspark.sql import Observation, functions as F
-
     from quillon.functions.sampling import sample_size
     from quillon.plans.sample import sample
     from quillon.sources import text, writers
 
     n = sample_size(args.confidence, args.probability)
     header, lines = text.data_lines(spark, args.input, not args.no_header)
-    seen = Observation()
-    lines = lines.observe(seen, F.count("*").alias("seen"))
     drawn = writers.write_lines(header, sample(lines, args.confidence, args.probability, args.seed), args.output)
-    _report("sample", lambda: {"drawn": drawn, "seen": seen.get["seen"], "n": n, "confidence": args.confidence, "probability": args.probability, "seed": args.seed})
+    _report("sample", lambda: {"drawn": drawn, "seen": lines.count(), "n": n, "confidence": args.confidence, "probability": args.probability, "seed": args.seed})
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

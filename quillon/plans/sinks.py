@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.motif import with_motifs
 from quillon.operators.intervals import merge_within
@@ -14,14 +14,10 @@ from quillon.schema import SECONDARY, SUPPLEMENTARY, UNMAPPED, SinksParams
 
 @dataclass(frozen=True)
 class Sinks:
-    """regions: (tid, start, end, motif, irr_count) in output order. metrics: one row.
-
-    observed: the counts of confirmed repeat reads (anchored, paired) of the first run of regions.
-    """
+    """regions: (tid, start, end, motif, irr_count) in output order. metrics: one row."""
 
     regions: DataFrame
     metrics: DataFrame
-    observed: Observation
 
 
 def classified(reads: DataFrame, params: SinksParams) -> DataFrame:
@@ -44,10 +40,7 @@ def classified(reads: DataFrame, params: SinksParams) -> DataFrame:
 def sinks(reads: DataFrame, contigs: DataFrame | None = None, params: SinksParams = SinksParams()) -> Sinks:
     """reads: READS. Names pair inside a file. With contigs the regions have chrom, too."""
     rows = classified(reads, params).withColumn("name", F.struct("file_id", "qname"))
-    observed = Observation()
-    outcome = [F.count_if(F.col("outcome") == x).alias(x) for x in ("anchored", "paired")]
-    found = confirmed(rows, "name").observe(observed, *outcome)
-    regions = merge_within(found.select("motif", "tid", "start", "end"), params.merge_distance, ("motif", "tid"))
+    regions = merge_within(confirmed(rows, "name").select("motif", "tid", "start", "end"), params.merge_distance, ("motif", "tid"))
     regions = regions.select("tid", "start", "end", "motif", F.col("n").alias("irr_count"))
     if contigs is not None:
         regions = regions.join(contigs.select("tid", F.col("name").alias("chrom")), "tid").select("tid", "chrom", "start", "end", "motif", "irr_count")
@@ -57,4 +50,4 @@ def sinks(reads: DataFrame, contigs: DataFrame | None = None, params: SinksParam
         F.count_if(emitted & (F.col("n_irr") == 1)).alias("anchored"), F.count_if(emitted & (F.col("n_irr") == 2)).alias("paired"), F.count_if(F.col("n") == 1).alias("unresolved")
     )
     metrics = metrics.crossJoin(reads.agg(F.count("*").alias("scanned"))).crossJoin(regions.agg(F.count("*").alias("rows")))  # one row each
-    return Sinks(regions.orderBy("tid", "start", "end", "motif"), metrics, observed)
+    return Sinks(regions.orderBy("tid", "start", "end", "motif"), metrics)

@@ -1,6 +1,8 @@
 """Alignment files, paths, the command line and the streaming forms."""
 
+import ast
 import json
+import logging
 import os
 import random
 
@@ -172,6 +174,30 @@ def test_command_line(spark, tmp_path):
     assert not (tmp_path / "none.txt").exists()
 
 
+def test_counts_in_the_log(spark, tmp_path, caplog):
+    """-v reports each command's counts."""
+    contigs = spark.createDataFrame([(0, "chr1", 10000)], "tid int, name string, length long")
+    rows = reads(spark, [("a", 60, 10, 65, 0, 3000, CAG), ("a", 3000, 60, 129, 0, 60, APER), ("b", 65, 10, 73, -1, -1, CAG)])
+    at = lambda n: str(tmp_path / n)
+    alignments.write_bam(rows, contigs, at("r.bam"))
+    (tmp_path / "s.bed").write_text("chr1\t50\t70\nchr1\t60\t150\n")
+    (tmp_path / "l.txt").write_text("".join(f"r{i}\n" for i in range(100)))
+    logging.getLogger().setLevel(logging.INFO)
+
+    def counts(*args):
+        caplog.clear()
+        with caplog.at_level(logging.INFO, "quillon"):
+            assert cli.main(["-v", *args], spark) == 0
+        return ast.literal_eval(caplog.records[-1].getMessage().split(": ", 1)[1])
+
+    got = counts("profile", "--sink-bed", at("s.bed"), "-i", at("r.bam"), "--summary", at("p.json"), "-o", at("c.bam"))
+    assert got == {"bed_regions": 2, "fetches": 1, "pass_count": 2, "distinct": 2, "anchored": 1, "unanchored": 1, "clusters": 1, "sink_excluded": 0, "written": 2}
+    assert counts("sinks", "-i", at("r.bam"), "-o", at("t.bed")) == {"scanned": 3, "anchored": 1, "paired": 0, "unresolved": 1, "rows": 1}
+    (tmp_path / "m.tsv").write_text(f"A\t{at('p.json')}\nB\t{at('p.json')}\n")
+    assert counts("merge", "--manifest", at("m.tsv"), "--output", at("m.json"), "--batch-size", "1") == {"samples": 2, "batches": 2, "loci": 2, "clusters": 1}
+    assert counts("sample", "-i", at("l.txt"), "-o", at("o.txt"), "-c", "0.9", "-p", "0.1", "--no-header", "--seed", "5") == {"drawn": 22, "seen": 100, "n": 22, "confidence": 0.9, "probability": 0.1, "seed": 5}
+
+
 def test_streamed_pairing(spark, some_reads, tmp_path):
     rows = classified(some_reads, SinksParams())
     rows = spark.createDataFrame(rows.collect(), rows.schema)
