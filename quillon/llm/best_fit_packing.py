@@ -1,11 +1,11 @@
 """Sequence packing by bounded-space online best-fit.
 
 Documents become token ids and a closing id; only those longer than a sequence are cut, into full
-pieces but for the first. Pieces are dealt out to blocks of a fixed size. In a block they arrive in
-hashed order, each into the open bin with the least free space that holds it: a bitset keyed by free
-space finds it in one step. The number of open bins is fixed; when another is needed the fullest
-closes. At the end of a block the bins still open are themselves packed into one another, best-fit
-with the fullest first.
+pieces but for the first. Pieces are dealt out to blocks of about BLOCK_PIECES. In a block they arrive in
+hashed order, which says nothing of their lengths, and each is placed at once: into the open bin with the
+least free space that holds it, which a bitset keyed by free space finds in one step. At most OPEN_BINS bins
+are open; when another is needed the fullest closes. What is open at the end of a block closes then: no two
+of these would fit into one, since the younger was opened when its first piece did not fit into the older.
 
 Cases: null and empty texts are one closing id; repeated rows each give pieces; a null doc_id is passed
 on; an empty table gives an empty result; extra columns are ignored; ties in free space go to the bin
@@ -29,7 +29,7 @@ from quillon.llm.common import arrow_batches, materialize, project, table
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LENGTH, CLOSING_ID = 2048, 0
-OPEN_BINS, BLOCK_PIECES = 16_384, 40_000
+OPEN_BINS, BLOCK_PIECES = 256, 40_000
 
 
 class Encoder:
@@ -139,24 +139,18 @@ class BestFit:
 
 
 def pack_block(items, length: int = LENGTH, most: int = OPEN_BINS):
-    """Bins of the items (size, content): lists of (size, content) of at most length in all."""
-    first = BestFit(length, most)
+    """Bins of the items (size, content) as they arrive: lists of (size, content) of at most length in all."""
+    bins = BestFit(length, most)
     for size, content in items:
-        yield from first.add(size, content)
-    second = BestFit(length, most)
-    flat = lambda held: [x for _, part in held for x in part]
-    for held in first.rest():
-        for closed in second.add(sum(n for n, _ in held), held):
-            yield flat(closed)
-    for closed in second.rest():
-        yield flat(closed)
+        yield from bins.add(size, content)
+    yield from bins.rest()
 
 
 def pack(found: DataFrame, length: int = LENGTH, most: int = OPEN_BINS, block: int = BLOCK_PIECES) -> DataFrame:
     """Rows of pieces(), with sequence_id and offset. found must be a stored table, since it is read twice."""
     n = max(1, math.ceil(found.count() / block))
     order = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
-    dealt = found.repartition(n).sortWithinPartitions(F.desc("length"), order, "doc_id", "piece")
+    dealt = found.repartition(n).sortWithinPartitions(order, "doc_id", "piece")
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def packed(batches):

@@ -81,3 +81,20 @@ def test_best_fit_takes_the_least_room_and_closes_the_fullest():
     held = list(bp.pack_block(items, 100, 64))
     assert sorted(x for b in held for x in b) == sorted(items) and all(sum(n for n, _ in b) <= 100 for b in held)
     assert len(held) <= 1.03 * sum(n for n, _ in items) / 100
+
+
+def test_the_bound_acts_in_the_registered_setting():
+    """Pieces in arrival order: never more than OPEN_BINS bins are open, most close for lack of bins, and little room is lost."""
+    r = random.Random(8)
+    sizes = [min(bp.LENGTH, int(r.lognormvariate(6, 1)) + 1) for _ in range(bp.BLOCK_PIECES)]
+    bins, closed, forced = bp.BestFit(bp.LENGTH, bp.OPEN_BINS), 0, 0
+    for i, n in enumerate(sizes):
+        for held in bins.add(n, i):
+            closed += 1
+            forced += sum(x for x, _ in held) < bp.LENGTH
+        assert bins.open <= bp.OPEN_BINS
+    left = bins.rest()
+    assert forced > closed / 4 and len(left) <= bp.OPEN_BINS
+    assert closed + len(left) <= 1.03 * sum(sizes) / bp.LENGTH
+    rooms = sorted(sum(n for n, _ in held) for held in left)
+    assert len(rooms) < 2 or rooms[0] + rooms[1] > bp.LENGTH  # what is left could not be merged
