@@ -21,6 +21,8 @@ class BoostedTrees:
         x = np.nan_to_num(np.asarray(x, float), nan=-np.inf)
         self.edges = [np.unique(np.quantile(np.where(np.isfinite(c), c, 0), np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = self._bin(x)
+        width = max(len(e) for e in self.edges) + 1  # histograms of all features stand side by side
+        flat = binned + np.arange(binned.shape[1]) * width
         mean = y.mean()
         self.start = float(np.log(mean / (1 - mean)))
         score = np.full(len(y), self.start)
@@ -34,7 +36,7 @@ class BoostedTrees:
             node = np.zeros(len(y), np.int64)
             for at in range(inner):
                 if len(rows := np.flatnonzero(node == at)):
-                    self.feature[t, at], self.cut[t, at] = self._split(binned[rows], g[rows], h[rows])
+                    self.feature[t, at], self.cut[t, at] = self._split(flat[rows], width, g[rows], h[rows])
                     right = binned[rows, self.feature[t, at]] > self.cut[t, at]
                     node[rows] = 2 * at + 1 + right
             leaf = node - inner
@@ -46,20 +48,15 @@ class BoostedTrees:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
 
-    def _split(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
-        best, found = 1e-9, (0, np.iinfo(np.int64).max)
+    def _split(self, flat: np.ndarray, width: int, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+        features = flat.shape[1]
         gain_of = lambda a, b: a * a / (b + self.penalty)
-        whole = gain_of(g.sum(), h.sum())
-        for f in range(binned.shape[1]):
-            n = len(self.edges[f]) + 1
-            gl, hl = np.cumsum(np.bincount(binned[:, f], g, n))[:-1], np.cumsum(np.bincount(binned[:, f], h, n))[:-1]
-            if not len(gl):
-                continue
-            gain = gain_of(gl, hl) + gain_of(g.sum() - gl, h.sum() - hl) - whole
-            gain[(hl < self.least) | (h.sum() - hl < self.least)] = -1
-            if (i := int(gain.argmax())) >= 0 and gain[i] > best:
-                best, found = gain[i], (f, i)
-        return found
+        sums = lambda v: np.cumsum(np.bincount(flat.ravel(), np.repeat(v, features), features * width).reshape(features, width), axis=1)[:, :-1]
+        gl, hl = sums(g), sums(h)
+        gain = gain_of(gl, hl) + gain_of(g.sum() - gl, h.sum() - hl) - gain_of(g.sum(), h.sum())
+        gain[(hl < self.least) | (h.sum() - hl < self.least)] = -1
+        feature, cut = divmod(int(gain.argmax()), width - 1) if gain.size else (0, 0)
+        return (feature, cut) if gain.size and gain[feature, cut] > 1e-9 else (0, np.iinfo(np.int64).max)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         x = np.nan_to_num(np.asarray(x, float).reshape(len(x), len(self.edges)), nan=-np.inf)
