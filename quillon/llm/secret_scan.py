@@ -146,24 +146,41 @@ def candidates(texts: DataFrame, rules=RULES) -> DataFrame:
     return whole.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 
+_SPANS = "array<struct<start:int,rule:int,end:int>>"
+
+
 def _found(text: Column, rule: tuple, number: int) -> Column:
-    """Spans (start, rule, end) of the rule's matches that are long enough."""
+    """Spans (start, rule, end) of the rule's matches that are long enough.
+
+    Starts are running sums, taken in chunks of about the square root of the number of matches: first
+    in each chunk from 0, then chunk by chunk, so that no array is copied for each match.
+    """
     _, expression, group, least = rule
     e = F.lit(expression)
-    rows = F.arrays_zip(
-        F.transform(F.split(text, expression, -1), F.char_length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, e, F.lit(0)), F.char_length).alias("len"),
-        F.transform(F.regexp_extract_all(text, e, F.lit(group)), F.char_length).alias("own"),
-    )
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    columns = [F.transform(F.split(text, expression, -1), F.char_length).alias("gap"), F.transform(F.regexp_extract_all(text, e, F.lit(0)), F.char_length).alias("len")]
+    if group:
+        columns.append(F.transform(F.regexp_extract_all(text, e, F.lit(group)), F.char_length).alias("own"))
+    none = F.array().cast(_SPANS)
 
     def step(state, x):
         start = state["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(number).alias("rule"), (start + x["len"]).alias("end"))
-        spans = F.when(x["own"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        spans = F.when(x["own" if group else "len"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct((start + F.coalesce(x["len"], F.lit(0))).alias("at"), spans.alias("spans"))
 
-    all_spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    def chunks(rows):
+        size = _chunk(rows)
+        firsts = F.sequence(F.lit(1), F.size(rows), size)
+        return F.transform(firsts, lambda first: F.aggregate(F.slice(rows, first, size), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def follow(state, chunk):
+        moved = F.transform(chunk["spans"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["rule"].alias("rule"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + chunk["at"]).alias("at"), F.concat(state["spans"], moved).alias("spans"))
+
+    def whole(rows):
+        return F.aggregate(chunks(rows), F.struct(F.lit(0).alias("at"), none.alias("spans")), follow, lambda s: s["spans"])
+
+    all_spans = F.element_at(F.transform(F.array(F.arrays_zip(*columns)), whole), 1)  # so the matches are found once
     return F.when(text.rlike(expression), all_spans).otherwise(none)
 
 
@@ -180,11 +197,55 @@ def _scanned(rows: DataFrame, rules) -> DataFrame:
     rows, hits = salted(rows, hits, SALTS, "key")
     rows = rows.join(hits.hint("shuffle_hash"), ["key", "salt"], "left")
     text, bits = F.col("text"), F.coalesce(F.col("rules"), F.lit(0).cast("long"))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    none = F.array().cast(_SPANS)
     spans = [F.when(F.getbit(bits, F.lit(i)) == 1, _found(text, r, i)).otherwise(none) if indexed[i] else _found(text, r, i) for i, r in enumerate(rules)]
     return rows.withColumn("spans", F.array_sort(F.concat(*spans))).drop("key", "rules", "salt")
 
 
+def _chunk(rows: Column) -> Column:
+    """About the square root of an array's size: chunks of so many are joined in little more than linear time."""
+    return F.ceil(F.sqrt(F.size(rows))).cast("int")
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans with overlapping ones as one, (start, end)."""
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def join(state, more):
+        """more, which is merged itself, after state: what reaches beyond state's last span; of that only the first can overlap it."""
+        last, size = F.element_at(state, -1), F.size(state)
+        beyond = F.filter(more, lambda s: s["end"] > last["end"])
+        first = F.get(beyond, F.lit(0))
+        wider = F.concat(F.slice(state, F.lit(1), size - 1), F.array(pair(last["start"], first["end"])), F.slice(beyond, F.lit(2), F.greatest(F.size(beyond), F.lit(1))))
+        return F.when(size == 0, more).when((F.size(beyond) > 0) & (first["start"] < last["end"]), wider).otherwise(F.concat(state, beyond))
+
+    firsts = F.sequence(F.lit(1), F.size(spans), _chunk(spans))
+    parts = F.transform(firsts, lambda i: F.aggregate(F.slice(spans, i, _chunk(spans)), none, lambda state, s: join(state, F.array(pair(s["start"], s["end"])))))
+    return F.aggregate(parts, none, join)
+
+
+def _replaced(text: Column, merged: Column, place: str) -> Column:
+    """The text with each of the merged spans replaced: pieces that end with a span's end are cut out first, and the spans in each piece then."""
+    chunk = _chunk(merged)
+
+    def cut(i):
+        mine = F.slice(merged, i, chunk)
+        begin = F.when(i == 1, F.lit(0)).otherwise(F.element_at(merged, F.greatest(i - 1, F.lit(1)))["end"])
+        return F.struct(begin.alias("begin"), mine.alias("spans"), F.substring(text, begin + 1, F.element_at(mine, -1)["end"] - begin).alias("piece"))
+
+    def between(x):
+        def part(s, i):
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.element_at(x["spans"], F.greatest(i, F.lit(1)))["end"] - x["begin"])
+            return F.substring(x["piece"], begin + 1, s["start"] - x["begin"] - begin)
+
+        return F.array_join(F.concat(F.transform(x["spans"], part), F.array(F.lit(""))), place)
+
+    pieces = F.transform(F.transform(F.sequence(F.lit(1), F.size(merged), chunk), cut), between)
+    end = F.element_at(merged, -1)["end"]
+    return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.char_length(text) - end))
+
+
 def redact(docs: DataFrame, rules=RULES, text_col: str = "text", place: str = PLACE) -> DataFrame:
     """docs with every span, overlapping ones as one, replaced in the text; the columns stay as they are.
 
@@ -196,19 +257,8 @@ def redact(docs: DataFrame, rules=RULES, text_col: str = "text", place: str = PL
     rows = docs.toDF(*inner).withColumn("was_null", F.col("text").isNull())
     rows = _scanned(rows, rules)
 
-    def join(state, s):
-        last = F.element_at(state, -1)
-        more = F.concat(state, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        wider = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(state) > 0) & (s["start"] < last["end"]), wider).otherwise(more)
-
-    merged = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), join)
-    rows = rows.withColumn("merged", F.when(F.size("spans") > 0, merged))
-    text, n = F.col("text"), F.size("merged")
-    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("merged"), F.greatest(i, F.lit(1)))["end"])
-    end = lambda i: F.when(i == n, F.char_length(text)).otherwise(F.element_at(F.col("merged"), F.least(i + 1, n))["start"])
-    parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i)))
-    clean = F.when(F.col("merged").isNotNull(), F.array_join(parts, place)).otherwise(text)
+    rows = rows.withColumn("merged", F.when(F.size("spans") > 0, _merged(F.col("spans"))))
+    clean = F.when(F.col("merged").isNotNull(), _replaced(F.col("text"), F.col("merged"), place)).otherwise(F.col("text"))
     out = rows.withColumn("text", F.when(~F.col("was_null"), clean))
     return out.select(*inner).toDF(*names)
 

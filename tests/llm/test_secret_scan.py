@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -56,6 +57,17 @@ def test_candidates_keep_all_that_match(spark):
             assert i == 2 or bits.get(key, 0) >> i & 1
 
 
+def test_a_dump_of_a_megabyte(spark):
+    """Time grows little faster than the number of matches."""
+    line = "deadbeefdeadbeef0123 "
+    docs = spark.createDataFrame([(1, line * 50_000), (2, "x")], "doc_id long, text string")
+    start = time.time()
+    found = ss.scan(docs).selectExpr("doc_id", "size(spans) as n", "get(spans, 49999) as last").collect()
+    assert {(r.doc_id, r.n) for r in found} == {(1, 50_000), (2, 0)} and time.time() - start < 60
+    assert [tuple(r.last) for r in found if r.n] == [(49_999 * 21, 2, 49_999 * 21 + 20)]
+    assert ss.redact(docs.where("doc_id = 1")).first().text == (ss.PLACE + " ") * 50_000
+
+
 def test_redaction(spark):
     rows = [(i, t, len(t)) for i, t in enumerate(texts())] + [(None, None, None)]
     docs = spark.createDataFrame(rows, "`doc.id` long, text string, Text2 int")
