@@ -93,3 +93,47 @@ def test_common_words_around_a_notice(spark):
         assert got[i].license == (name if s >= ls.THRESHOLD else None)
         assert got[i].similarity is None if s < ls.THRESHOLD else abs(got[i].similarity - s) < 1e-9
     assert [got[1000 + i].license for i in range(3)] == list(notices) and got[1000].similarity > 0.9
+
+
+def wrapped(text, width=68):
+    lines, line = [], ""
+    for w in text.split(" "):
+        if len(line) + len(w) > width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return [*lines, line]
+
+
+def test_files_as_they_stand_in_projects():
+    """Whole licence files, wrapped headers in every comment style, and notices inside long licences."""
+    m = ls.Matcher(1000, {"the": 900, "of": 800, "and": 850, "to": 800, "in": 700, "copyright": 30, "software": 40})
+    mit = ls._MIT + ls._MIT_REST
+    file = "MIT License\n\nCopyright (c) 2021 Some Person\n\n" + "\n".join(wrapped(ls._MIT)) + "\n\n" + "\n".join(wrapped(ls._MIT_REST.strip())) + "\n"
+    assert m.file(file, True)[1] == "MIT" and m.file(file, True)[0] >= 0.8 and m.file(file, False)[0] >= 0.8
+    for name, text in (("BSD-2-Clause", ls._CONDITIONS + ls._WARRANTY), ("BSD-3-Clause", ls._CONDITIONS + ls._THIRD + ls._WARRANTY), ("ISC", ls._ISC + ls._ISC_REST), ("MIT", mit)):
+        s, found = m.file("Copyright (c) 2020, The Authors\nAll rights reserved.\n\n" + "\n".join(wrapped(text)), True)
+        assert found == name and s >= 0.8, (name, found, s)
+    for name in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0", "GPL-2.0", "Apache-2.0", "MPL-2.0"):
+        notice = wrapped(ls.TEMPLATES[name][-1])
+        for header in ("/*\n" + "\n".join(notice) + "\n*/\nint x;", "/*\n * " + "\n * ".join(notice) + "\n */\nint x;", "# " + "\n# ".join(notice) + "\nx = 1", "<!--\n" + "\n".join(notice) + "\n-->\n<p>", "word\n\n" + "\n".join(notice) + "\n\nother words"):
+            s, found = m.file(header, False)
+            assert found == name and s >= 0.8, (name, header, found, s)
+        long = "\n\n".join(f"{i}. " + "\n".join(wrapped("Some long terms of a long licence that speak of a covered work and of its conveying " * 3)) for i in range(40))
+        assert m.file(long + "\n\nHow to apply\n\n" + "\n".join(notice) + "\n\nend", True)[1] == name
+
+
+def test_very_long_headers_take_linear_time():
+    import time
+
+    start = time.time()
+    for text in ("/*" * 400_000, "# licence\n" * 60_000, "licence " * 100_000, "<!--" * 200_000, "\n\n".join(["the licence\nof it"] * 40_000)):
+        list(ls.passages(text, True))
+    assert time.time() - start < 20
+
+
+def test_paths_with_nulls(spark):
+    rows = [(None, None, None), (1, None, "s"), (60, "en", None), (0, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string")
+    got = [r[0] for r in docs.select(ls.path_of_document()).collect()]
+    assert got == ["-/-/-/-.txt", "s/-/1/1.txt", "-/LICENSE", "s/LICENSE"]
