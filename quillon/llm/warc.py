@@ -28,7 +28,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import arrow_batches, project, shared_dir, table
+from quillon.llm.common import SALTS, arrow_batches, project, run_dir, salted, table
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 1000
@@ -177,11 +177,16 @@ def read_warc(data: bytes):
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the page that a record revisits, else null."""
-    pages = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1("html"))
-    long = pages.where(F.octet_length("html") >= REVISIT_BYTES)
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
+    is_long = F.octet_length("html") >= REVISIT_BYTES
+    none = F.lit(None).cast("long").alias("refers_to")
+    short = pages.where(~is_long).select("page_id", "url", "html", none)  # these don't travel
+    long = pages.where(is_long).withColumn("digest", F.sha1("html"))
     shared = long.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = pages.join(shared.hint("shuffle_hash"), "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top")).alias("refers_to"))
+    long, shared = salted(long, shared, SALTS, "digest", without="html")
+    joined = long.join(shared.hint("shuffle_hash"), ["digest", "salt"], "left")
+    target = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top")).alias("refers_to")
+    return joined.select("page_id", "url", "html", target).union(short)
 
 
 def archives(pages: DataFrame) -> DataFrame:
@@ -223,6 +228,23 @@ def _arcs(batches):
         yield b"".join(parts), revisits
 
 
+def convert_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, warc) of the legacy archives *.arc and *.arc.gz in a folder: each as the bytes of a WARC archive, whatever its payloads hold.
+
+    A file is one row and is converted at once, so it must fit into a task's memory.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(*batch.columns):
+                data = content.as_py()
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([convert(data, {})], pa.binary())], names=["path", "warc"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc*").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, warc binary")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) as compressed WARC files in a folder."""
     pages = project(pages, page_id="page_id", url="url", html="html").withColumn("page_id", F.col("page_id").cast("long"))
@@ -259,7 +281,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quillon/warc-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).drop("url")
 
