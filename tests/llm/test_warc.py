@@ -82,3 +82,17 @@ def test_broken_archives():
             list(warc.read_warc(bad))
     with pytest.raises(ValueError):
         warc.warc_date("2020")
+
+
+def test_archives_that_exist(spark, tmp_path):
+    """Files of both versions, compressed or not, with payloads that are no text."""
+    payload = bytes(range(256)) * 3
+    for version, name in ((1, "a.arc"), (2, "b.arc.gz")):
+        data = warc.arc_header(version, name) + warc.arc_record(version, name, 0, "http://x/y z", b"HTTP/1.1 200 OK\r\n\r\n" + payload) + warc.arc_record(version, name, 9, "dns:x", b"raw\n\n")
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    rows = {r.path.rsplit("/", 1)[-1]: bytes(r.warc) for r in warc.convert_files(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["a.arc", "b.arc.gz"]
+    for data in rows.values():
+        (first, block), (second, raw) = warc.read_warc(data)
+        assert warc.split_http(block)[1] == payload and first["warc-type"] == "response" and first["warc-target-uri"] == "http://x/y%20z"
+        assert raw == b"raw\n\n" and second["warc-type"] == "resource"
