@@ -1,16 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 Trusted rows are those labelled of good quality and not toxic. N-grams of up to ORDER UTF-16 units are
-packed into 64 bits. The model is fitted on a sample of trusted texts of about TRAIN_UNITS units at most, of
-which each language has an equal share (all its texts, if they are fewer); which texts these are hangs on a hash
-of the text. Their counts are summed in each task and then by key; the lower orders' continuation counts, the
-context totals and the interpolated probabilities come from joins of the count tables by language and gram, so
-every table is sharded by its key. The finished model is as bounded as the sample; it is broadcast, and one pass
-over all documents sums the log-probabilities of each. The threshold is the QUANTILE of perplexity over all
+packed into 64 bits. The model is fitted on all trusted texts. Their counts are summed in each task and then by
+key; the lower orders' continuation counts, the context totals and the interpolated probabilities come from joins
+of the count tables by language and gram, so every table is sharded by its key. A model of up to MODEL_ROWS grams
+is broadcast, and one pass over all documents sums the log-probabilities of each; with a larger one the documents'
+grams are joined with it by key, which gives the same sums. The threshold is the QUANTILE of perplexity over all
 trusted documents of the language and length band, times SLACK, which allows for the error of so high a quantile.
-Each of these is judged by a model that has not seen it: outside the sample by the model itself, in the sample by
-one of the other FOLDS - 1 folds; equal texts share a fold, by a hash. A band with too few documents for the
-quantile takes the language's threshold, or the band's where that is larger; one with none takes the language's.
+Each of these is judged by a model that has not seen it, of the other FOLDS - 1 folds; equal texts share a fold,
+by a hash. A band with too few documents for the quantile takes the language's threshold, or the band's where that
+is larger; one with none takes the language's. A caller may ask for a model of a sample of so many units, drawn by
+a hash of the text with an equal share for each language; the query and the pipeline don't.
 
 Cases: null and empty texts have no perplexity and are kept, since there is nothing to judge; so are rows
 of a language without trusted text (a null language is one of its own, other than an empty one), or with trusted
@@ -27,15 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import forget, materialize, mix, project, small, table, text_key
+from quillon.llm.common import forget, joined, materialize, mix, project, small, table, text_key
 
 ORDER, UNITS = 4, 65536
 QUANTILE, SLACK = 0.995, 1.05
 #: lengths in units from which texts have a threshold of their own: perplexities of short texts vary more
 BANDS = (64, 256)
-#: units of trusted text that the model is fitted on, about, over all languages
-TRAIN_UNITS = 32_000_000
-#: the sample is cut by a hash in so many steps
+#: grams of a model that is broadcast at most; a larger one is joined
+MODEL_ROWS = 4_000_000
+#: a sample that a caller asks for is cut by a hash in so many steps
 STEPS = 1 << 20
 #: trusted texts are judged by models of the other folds (one digit each); ALL is the prefix of the model of all folds
 FOLDS, ALL = 5, "a"
@@ -225,7 +225,7 @@ def log_probabilities(grams: np.ndarray, model: Lookup) -> np.ndarray:
 
 
 def lookups(model: DataFrame) -> dict[str, Lookup]:
-    """The model's tables by language; it is as bounded as the sample that it was fitted on."""
+    """The tables by language of a model of MODEL_ROWS grams at most."""
     rows = model.select("lang", F.col("level").cast("tinyint").alias("level"), "gram", F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")).toArrow()
     langs = rows.column("lang").combine_chunks().dictionary_encode()
     codes = langs.indices.to_numpy(zero_copy_only=False)
@@ -237,9 +237,64 @@ def lookups(model: DataFrame) -> dict[str, Lookup]:
     return tables
 
 
-def scores(spark: SparkSession, docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs (doc_id, lang, t1, t2, text) to (doc_id, lang, t1, t2, n_units, total): the sum of log-probabilities, null without a model of the language."""
-    held = spark.sparkContext.broadcast(lookups(model))
+def text_grams(docs: DataFrame) -> DataFrame:
+    """(lang, t1, t2, gram, n) of each row of docs (lang, t1, t2, text): its longest grams."""
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for a, b in _blocks(texts):
+                grams, ends = packed(texts[a:b])
+                row = np.repeat(np.arange(a, b), np.diff(ends, prepend=0))
+                order = np.lexsort((grams, row))
+                row, grams = row[order], grams[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(len(row), 1), bool), (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])]))
+                n = np.diff(first, append=len(row))
+                for i in range(0, len(first), 1 << 16):
+                    at = first[i : i + (1 << 16)]
+                    own = [batch.column(c).take(pa.array(row[at])) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(grams[at].view(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["lang", "t1", "t2", "gram", "n"])
+
+    return docs.select("lang", "t1", "t2", "text").mapInArrow(count, "lang string, t1 long, t2 long, gram long, n long")
+
+
+def gram_scores(spark: SparkSession, grams: DataFrame, model: DataFrame) -> DataFrame:
+    """Distinct (lang, gram) with logp, as log_probabilities() has it, by joins; without those of a language that has no model."""
+    suffix = lambda n: F.col("gram").bitwiseAND(F.lit((1 << (16 * n)) - 1)) if n < ORDER else F.col("gram")
+    rows = joined(grams, materialize(spark, model.where("level = 0").select("lang", (F.col("logp") + F.col("back").cast("float")).alias("logp")), "level0"), "lang")
+    for level in range(1, ORDER + 1):
+        own = model.where(F.col("level") == level).select("lang", F.col("gram").alias("key"), F.col("logp").cast("float").alias("own"), F.col("back").cast("float").alias("next"))
+        own = materialize(spark, own, f"level{level}")
+        rows = joined(rows.withColumn("key", suffix(level)), own.drop("next"), "lang", "key", how="left")
+        rows = rows.withColumn("logp", F.coalesce("own", "logp")).drop("own", "key")
+        if level < ORDER:  # the weight of the context of the next longer gram
+            rows = joined(rows.withColumn("key", F.shiftrightunsigned(suffix(level + 1), 16)), own.drop("own"), "lang", "key", how="left")
+            rows = rows.withColumn("logp", F.col("logp") + F.coalesce("next", F.lit(0.0))).drop("next", "key")
+    return materialize(spark, rows.select("lang", "gram", "logp"), "gram-scores")
+
+
+def joined_scores(spark: SparkSession, docs: DataFrame, model: DataFrame) -> DataFrame:
+    """scores() by a model of any size. Rows of equal text and language are summed up together and share their total."""
+    grams = materialize(spark, text_grams(docs), "text-grams")
+    known = gram_scores(spark, materialize(spark, grams.select("lang", "gram").distinct(), "text-gram-keys"), model)
+    text = ["lang", "t1", "t2"]
+    found = materialize(spark, sums(spark, docs, {}).drop("total"), "sizes")
+    totals = joined(grams, known, "lang", "gram").groupBy(*text).agg(F.sum(F.col("n") * F.col("logp").cast("double")).alias("all"))
+    totals = totals.join(found.groupBy(*text).agg(F.count("*").alias("rows")), text).select(*text, (F.col("all") / F.col("rows")).alias("total"))
+    return joined(found, materialize(spark, totals, "totals"), *text, how="left").select("doc_id", *text, "n_units", "total")
+
+
+def scores(spark: SparkSession, docs: DataFrame, model: DataFrame, most: int = MODEL_ROWS) -> DataFrame:
+    """docs (doc_id, lang, t1, t2, text) to (doc_id, lang, t1, t2, n_units, total): the sum of log-probabilities, null without a model of the language.
+
+    model must be stored; with more than most grams it is joined, not broadcast.
+    """
+    return joined_scores(spark, docs, model) if model.count() > most else sums(spark, docs, lookups(model))
+
+
+def sums(spark: SparkSession, docs: DataFrame, tables: dict[str, Lookup]) -> DataFrame:
+    """scores() by tables that each task holds."""
+    held = spark.sparkContext.broadcast(tables)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
@@ -289,8 +344,11 @@ def _quotas(spark: SparkSession, trusted: DataFrame, units: int) -> DataFrame:
     return small(materialize(spark, sizes.select("lang", steps.alias("steps")), "quotas"), BROADCAST_LANGUAGES)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, units: int = TRAIN_UNITS) -> DataFrame:
-    """doc_id, lang, n_units, perplexity, threshold, keep for every row of docs, and t1, t2: two hashes of its text."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, units: int | None = None) -> DataFrame:
+    """doc_id, lang, n_units, perplexity, threshold, keep for every row of docs, and t1, t2: two hashes of its text.
+
+    With units the model is fitted on a sample of about so many, otherwise on all trusted texts.
+    """
     labels = project(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     good = F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
     trusted = materialize(spark, labels.where("doc_id is not null").groupBy("doc_id").agg(good.alias("good")).where("good = 1").select("doc_id"), "trusted")
@@ -298,13 +356,17 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile:
     docs = project(docs, doc_id="doc_id", lang="lang", text="text")
     t1, t2 = text_key("text")
     docs = docs.select("doc_id", language_key(F.col("lang")).alias("lang"), t1.alias("t1"), t2.alias("t2"), F.coalesce("text", F.lit("")).alias("text"))
-    quotas = _quotas(spark, docs.join(ids, "doc_id", "left_semi"), units)
-    in_sample = F.pmod("t1", F.lit(STEPS)) < F.col("steps")
-    mine = docs.join(ids, "doc_id", "left_semi").join(quotas, "lang").where(in_sample).withColumn("fold", F.pmod("t2", F.lit(FOLDS)).cast("int")).drop("steps")
+    mine = docs.join(ids, "doc_id", "left_semi").withColumn("fold", F.pmod("t2", F.lit(FOLDS)).cast("int"))
+    if units is not None:
+        quotas = _quotas(spark, docs.join(ids, "doc_id", "left_semi"), units)
+        in_sample = F.pmod("t1", F.lit(STEPS)) < F.col("steps")
+        mine = mine.join(quotas, "lang").where(in_sample).drop("steps")
     mine = materialize(spark, mine, "trusted-texts")
     model = materialize(spark, model_table(spark, materialize(spark, fold_counts(spark, mine), "grams")), "model")
     found = materialize(spark, _perplexities(spark, docs, model, ALL), "scores")
-    judged = found.join(ids, "doc_id", "left_semi").join(quotas, "lang").where(~in_sample).drop("steps")
+    judged = found.limit(0)
+    if units is not None:
+        judged = found.join(ids, "doc_id", "left_semi").join(quotas, "lang").where(~in_sample).drop("steps")
     for k in range(FOLDS):
         part = _perplexities(spark, mine.where(F.col("fold") == k), model, str(k))
         judged = judged.unionByName(materialize(spark, part, "held-out"))
