@@ -14,25 +14,31 @@ records in a file is known whatever the splits. in CRAM, whose paths end in .cra
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillon.schema import READS
 from quillon.sources import cram
 from quillon.sources.paths import check_reference, is_cram_path
-from quillon.sources.writers import Counted, file_system
+from quillon.sources.writers import file_system
 
 SPLIT_BYTES = 32 << 20
 # Fixed values of the formats.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _ON_REFERENCE = frozenset("MDN=X")
-_PAIR = [(BASES[b >> 4] + BASES[b & 15]).encode() for b in range(256)]
+#: the letter of a hexadecimal digit, and the digit of a letter (15 for unknown ones)
+_LETTERS = bytes(ord(BASES[int(chr(b), 16)]) if chr(b) in "0123456789abcdef" else 0 for b in range(256))
+_DIGITS = bytes(ord(f"{BASES.find(chr(b)) if chr(b) in BASES else 15:x}") for b in range(256))
+#: qualities as printed in SAM: bytes up to 93, and all others letter by letter
+_PRINT, _UNPRINT, _PRINTABLE = bytes((b + 33) % 256 for b in range(256)), bytes((b - 33) % 256 for b in range(256)), bytes(range(94))
 _BLOCK = b"\x1f\x8b\x08\x04"
 _EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _FIXED = struct.Struct("<iiBBHHHiiii")
@@ -115,9 +121,24 @@ def file_begins(file, at: int) -> bool:
     return file.read(4) == _BLOCK
 
 
+def _version(path: str) -> tuple:
+    """What tells a file from one that stood at its path before."""
+    system, inner = file_system(path)
+    info = system.get_file_info(inner)
+    return info.size, info.mtime_ns
+
+
 class Stream:
     """Bytes of consecutive blocks, with the virtual offset of each place."""
 
+    @classmethod
+    def from_virtual(cls, file, at: int) -> Stream:
+        """A stream at a virtual offset."""
+        stream = cls(Blocks(file, at >> 16))
+        stream.need(at & 0xFFFF)
+        stream.at = at & 0xFFFF
+        return stream
+
     def __init__(self, blocks: Blocks):
         self.blocks, self.data, self.starts = blocks, b"", []  # starts: (place in data, block offset)
         self.at, self.keep = 0, False
@@ -164,6 +185,15 @@ def read_header(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, contigs
 
 
+@functools.lru_cache(4)
+def _bam_start(path: str, version: tuple) -> tuple[int, int]:
+    """The number of contigs and the virtual offset of the first record; a worker reads a file's header once for all its splits."""
+    with _open(path) as file:
+        head = Stream(Blocks(file, 0))
+        contigs = read_header(head)[1]
+        return len(contigs), head.virtual()
+
+
 def _may_begin(data: bytes, first: int, last: int, contigs: int) -> np.ndarray:
     """Places first..last-1 whose first 36 bytes can open a record."""
     last = min(last, len(data) - 35)
@@ -227,39 +257,43 @@ def _first_record(stream: Stream, contigs: int, stop: int) -> bool:
             return False
 
 
+@functools.lru_cache(1 << 12)
+def _operations(packed: bytes) -> tuple[str, int]:
+    """The text of a record's operations, and how many places of the contig they take."""
+    cigar = [(c >> 4, OPS[c & 15]) for c in struct.unpack(f"<{len(packed) // 4}I", packed)]
+    return "".join(f"{n}{op}" for n, op in cigar) or "*", sum(n for n, op in cigar if op in _ON_REFERENCE)
+
+
 def decode(file_id: str, ord_: int, body: bytes) -> tuple:
     """A row of READS of a BAM record without its size."""
     tid, pos, name_len, mapq, _, n_cigar, flag, n_seq, mtid, mpos, _ = _FIXED.unpack_from(body)
     at = 32
     name = body[at : at + name_len - 1].decode()
     at += name_len
-    cigar = [(c >> 4, OPS[c & 15]) for c in struct.unpack_from(f"<{n_cigar}I", body, at)]
+    cigar, length = _operations(body[at : at + 4 * n_cigar])
     at += 4 * n_cigar
-    seq = b"".join([_PAIR[b] for b in body[at : at + (n_seq + 1) // 2]])[:n_seq].decode()
+    seq = body[at : at + (n_seq + 1) // 2].hex().encode().translate(_LETTERS)[:n_seq].decode()
     at += (n_seq + 1) // 2
-    end = pos + sum(n for n, op in cigar if op in _ON_REFERENCE)
-    return (file_id, ord_, name, flag, tid, pos, mapq, "".join(f"{n}{op}" for n, op in cigar) or "*", mtid, mpos, seq, body[at : at + n_seq], end)
+    return (file_id, ord_, name, flag, tid, pos, mapq, cigar, mtid, mpos, seq, body[at : at + n_seq], pos + length)
 
 
 def bam_records(path: str, start: int, stop: int):
     """Rows of the records that begin in the blocks of start..stop-1."""
+    contigs, begin = _bam_start(path, _version(path))
     with _open(path) as file:
-        head = Stream(Blocks(file, 0))
-        _, contigs = read_header(head)
         if start == 0:
-            stream = head
+            stream = Stream.from_virtual(file, begin)
         else:
             first = _first_block(file, start, stop)
             if first is None:
                 return
-            header_end = head.virtual() >> 16
-            if first <= header_end:  # still in the header
-                stream = head if start <= header_end < stop else None
-                if stream is None:
+            if first <= begin >> 16:  # still in the header
+                if not start <= begin >> 16 < stop:
                     return
+                stream = Stream.from_virtual(file, begin)
             else:
                 stream = Stream(Blocks(file, first))
-                if not _first_record(stream, len(contigs), stop):
+                if not _first_record(stream, contigs, stop):
                     return
         while stream.need(4):
             if len(stream.data) == stream.at:
@@ -276,9 +310,7 @@ def bam_records(path: str, start: int, stop: int):
 def bam_chunk(path: str, begin: int, end: int):
     """Rows of the records whose virtual offsets are in begin..end-1."""
     with _open(path) as file:
-        stream = Stream(Blocks(file, begin >> 16))
-        stream.need(begin & 0xFFFF)
-        stream.at = begin & 0xFFFF
+        stream = Stream.from_virtual(file, begin)
         while stream.need(4) and (at := stream.virtual()) < end:
             yield decode(path, at, stream.take(struct.unpack("<i", stream.take(4))[0]))
 
@@ -423,9 +455,33 @@ def _lines(file, at: int):
         yield at, rest.rstrip(b"\r")
 
 
+@functools.lru_cache(4)
+def _sam_ids(path: str, version: tuple) -> dict[str, int]:
+    """Contigs' numbers by name; a worker reads a file's header once for all its splits."""
+    return {name: i for i, (name, _) in enumerate(sam_contigs(path))}
+
+
+@functools.lru_cache(1 << 12)
+def _places(cigar: str) -> int:
+    """How many places of the contig the operations take."""
+    length, n = 0, 0
+    for c in cigar if cigar != "*" else "":
+        if c.isdigit():
+            n = 10 * n + int(c)
+        else:
+            length, n = length + (n if c in _ON_REFERENCE else 0), 0
+    return length
+
+
+def _qualities(printed: str) -> bytes:
+    if printed.isascii() and "!" <= min(printed, default="!"):
+        return printed.encode().translate(_UNPRINT)
+    return bytes(ord(c) - 33 for c in printed)
+
+
 def sam_records(path: str, start: int, stop: int):
     """Rows of the lines that begin in start..stop-1."""
-    tid = {name: i for i, (name, _) in enumerate(sam_contigs(path))}
+    tid = _sam_ids(path, _version(path))
     with _open(path) as file:
         lines = _lines(file, max(start - 1, 0))
         if start:
@@ -440,14 +496,8 @@ def sam_records(path: str, start: int, stop: int):
                 raise ValueError(f"a SAM line of {len(f)} fields at byte {at} of {path}")
             own, mate = ((-1 if x == "*" else tid[x]) for x in (f[2], f[2] if f[6] == "=" else f[6]))
             pos, seq = int(f[3]) - 1, "" if f[9] == "*" else f[9]
-            qual = b"\xff" * len(seq) if f[10] == "*" else bytes(ord(c) - 33 for c in f[10])
-            length, n = 0, 0
-            for c in f[5] if f[5] != "*" else "":
-                if c.isdigit():
-                    n = 10 * n + int(c)
-                else:
-                    length, n = length + (n if c in _ON_REFERENCE else 0), 0
-            yield (path, at, f[0], int(f[1]), own, pos, int(f[4]), f[5], mate, int(f[7]) - 1, seq, qual, pos + length)
+            qual = b"\xff" * len(seq) if f[10] == "*" else _qualities(f[10])
+            yield (path, at, f[0], int(f[1]), own, pos, int(f[4]), f[5], mate, int(f[7]) - 1, seq, qual, pos + _places(f[5]))
 
 
 # --- the data source -------------------------------------------------------------------------------
@@ -622,22 +672,27 @@ def _compressed(data: bytes) -> bytes:
     return _BLOCK + struct.pack("<IBBH", 0, 0, 0xFF, 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def encode(row) -> bytes:
-    """A BAM record of a row of READS."""
-    seq = row.seq or ""
-    codes = [BASES.find(c) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
+@functools.lru_cache(1 << 12)
+def _packed_operations(cigar: str | None) -> bytes:
     ops, n = [], 0
-    for c in "" if row.cigar in (None, "*") else row.cigar:
+    for c in "" if cigar in (None, "*") else cigar:
         if c.isdigit():
             n = 10 * n + int(c)
         else:
             ops.append(n << 4 | OPS.index(c))
             n = 0
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
+def encode(row) -> bytes:
+    """A BAM record of a row of READS."""
+    seq = row.seq or ""
+    packed = bytes.fromhex((seq.encode("latin-1", "replace").upper().translate(_DIGITS) + b"0" * (len(seq) % 2)).decode())
+    ops = _packed_operations(row.cigar)
     name = row.qname.encode() + b"\0"
     qual = bytes(row.qual) if row.qual is not None and len(row.qual) == len(seq) else b"\xff" * len(seq)
-    body = _FIXED.pack(row.tid, row.pos, len(name), row.mapq, 4680, len(ops), row.flag, len(seq), row.mtid, row.mpos, 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual
+    body = _FIXED.pack(row.tid, row.pos, len(name), row.mapq, 4680, len(ops) // 4, row.flag, len(seq), row.mtid, row.mpos, 0)
+    body += name + ops + packed + qual
     return struct.pack("<i", len(body)) + body
 
 
@@ -645,6 +700,25 @@ def _made_header(named: list[tuple[str, int]]) -> str:
     return "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in named)
 
 
+def _string_together(blobs: DataFrame, head: bytes, tail: bytes, path: str) -> int:
+    """Write head, the blobs (data, n) in their order and tail as one file; the sum of n.
+
+    All tasks make their blobs at once and keep them on their disks, since the driver takes them one task after another.
+    """
+    kept = blobs.persist(StorageLevel.DISK_ONLY)
+    try:
+        count = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        system, inner = file_system(path)
+        with system.open_output_stream(inner) as file:
+            file.write(head)
+            for r in kept.select("data").toLocalIterator(prefetchPartitions=True):
+                file.write(r.data)
+            file.write(tail)
+    finally:
+        kept.unpersist()
+    return count
+
+
 def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> int:
     """Rows of READS, in the order of contig, place and ord, as one BAM file, which tasks encode and the driver strings together; the number of rows.
 
@@ -653,31 +727,24 @@ def write_bam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None
     named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
     text = _made_header(named) if header is None else header
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(named))
-    for n, size in named:
-        head += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
+    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in named)
 
     def blocks(batches):
-        held, n = b"", 0
+        held, size, n = [], 0, 0
         for batch in batches:
             for row in map(_Read._make, zip(*(c.to_pylist() for c in batch.columns))):
-                held, n = held + encode(row), n + 1
-                if len(held) >= _BLOCK_BYTES:
-                    cut = len(held) // _BLOCK_BYTES * _BLOCK_BYTES
-                    yield _blob(held[:cut], n)
-                    held, n = held[cut:], 0
-        if held:
-            yield _blob(held, n)
+                held.append(encode(row))
+                size, n = size + len(held[-1]), n + 1
+                if size >= _BLOCK_BYTES:
+                    data = b"".join(held)
+                    cut = size // _BLOCK_BYTES * _BLOCK_BYTES
+                    yield _blob(data[:cut], n)
+                    held, size, n = [data[cut:]], size - cut, 0
+        if size:
+            yield _blob(b"".join(held), n)
 
     ordered = rows.select(*_Read._fields, "file_id", "ord").orderBy("tid", "pos", "file_id", "ord").select(*_Read._fields)
-    system, inner = file_system(path)
-    count = 0
-    with system.open_output_stream(inner) as file:
-        file.write(_blocks_of(head))
-        for r in ordered.mapInArrow(blocks, "data binary, n long").toLocalIterator():
-            file.write(r.data)
-            count += r.n
-        file.write(_EOF)
-    return count
+    return _string_together(ordered.mapInArrow(blocks, "data binary, n long"), _blocks_of(head), _EOF, path)
 
 
 #: reads in a container of CRAM
@@ -734,15 +801,45 @@ def _blob(data: bytes, n: int) -> pa.RecordBatch:
 
 def write_sam(rows: DataFrame, contigs: DataFrame, path: str, header: str | None = None) -> int:
     """Rows of READS, in the order of contig, place and ord, as one SAM file; the number of rows."""
-    named = [(r.name, r.length) for r in contigs.orderBy("tid").collect()]
-    name = lambda t: "*" if t < 0 else named[t][0]
-    counted = Counted()
-    system, inner = file_system(path)
-    with system.open_output_stream(inner) as file:
-        file.write((_made_header(named) if header is None else header).encode())
-        for r in counted(rows.orderBy("tid", "pos", "file_id", "ord").toLocalIterator()):
-            known = r.qual is not None and len(r.qual) == len(r.seq or "") and r.seq and any(q != 255 for q in r.qual)
-            qual = "".join(chr(q + 33) for q in r.qual) if known else "*"
-            line = "\t".join(map(str, (r.qname, r.flag, name(r.tid), r.pos + 1, r.mapq, r.cigar or "*", name(r.mtid), r.mpos + 1, 0, r.seq or "*", qual))) + "\n"
-            file.write(line.encode())
-    return counted.n
+    text = _made_header([(r.name, r.length) for r in contigs.orderBy("tid").collect()]) if header is None else header
+
+    def named(column: str):
+        return F.when(F.col(column) < 0, "*").otherwise(F.coalesce(F.col(f"{column}_name"), F.raise_error(F.format_string("no contig %s", F.col(column))))).alias(column)
+
+    def lines(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in map(_Read._make, zip(*(c.to_pylist() for c in batch.columns))):
+                held.append(sam_line(row))
+                size += len(held[-1])
+                if size >= _SAM_BYTES:
+                    yield _text_blob(held)
+                    held, size = [], 0
+        if held:
+            yield _text_blob(held)
+
+    for column in ("tid", "mtid"):
+        rows = rows.join(contigs.select(F.col("tid").alias("_tid"), F.col("name").alias(f"{column}_name")), F.col(column) == F.col("_tid"), "left").drop("_tid")
+    ordered = rows.select(*_Read._fields, "file_id", "ord", "tid_name", "mtid_name").orderBy("tid", "pos", "file_id", "ord")
+    ordered = ordered.select(*[named(c) if c in ("tid", "mtid") else c for c in _Read._fields])
+    return _string_together(ordered.mapInArrow(lines, "data binary, n long"), text.encode(), b"", path)
+
+
+#: bytes of lines that are passed on at once
+_SAM_BYTES = 1 << 20
+
+
+def _text_blob(lines: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(lines)], pa.binary()), pa.array([len(lines)], pa.int64())], names=["data", "n"])
+
+
+def sam_line(row) -> bytes:
+    """The line of a row of READS whose tid and mtid are names."""
+    qual = b"" if row.qual is None else bytes(row.qual)
+    if not qual or len(qual) != len(row.seq or "") or not qual.strip(b"\xff"):
+        printed = "*"
+    elif qual.translate(None, _PRINTABLE):
+        printed = "".join(chr(q + 33) for q in qual)
+    else:
+        printed = qual.translate(_PRINT).decode()
+    return f"{row.qname}\t{row.flag}\t{row.tid}\t{row.pos + 1}\t{row.mapq}\t{row.cigar or '*'}\t{row.mtid}\t{row.mpos + 1}\t0\t{row.seq or '*'}\t{printed}\n".encode()

@@ -221,3 +221,32 @@ def test_running_merge(spark, tmp_path):
     running.add(spark.createDataFrame(rows[1::2], schema), 1)  # a batch that runs again counts once
     got = merge(running.state(), params=MergeParams(merge_distance=350)).collect()
     assert got == whole and len(whole) == 1
+
+
+@pytest.mark.parametrize("kind", ["bam", "sam"])
+def test_a_header_of_many_contigs_is_read_once(spark, some_reads, tmp_path, kind, monkeypatch):
+    """Splits share the header, however many there are, and tasks make the file's parts side by side."""
+    path = str(tmp_path / f"many.{kind}")
+    contigs = spark.range(200_000).selectExpr("cast(id as int) as tid", "concat('chr', id) as name", "1000000L as length")
+    assert getattr(alignments, f"write_{kind}")(some_reads, contigs, path) == some_reads.count()
+    read = []
+    for name in ("read_header", "sam_contigs"):
+        plainly = getattr(alignments, name)
+        monkeypatch.setattr(alignments, name, lambda x, f=plainly: read.append(1) or f(x))
+    size = os.path.getsize(path)
+    split = size // 20
+    got = [x for a in range(0, size, split) for x in getattr(alignments, f"{kind}_records")(path, a, min(a + split, size))]
+    assert len(got) == some_reads.count() and len(read) == 1
+    want = plain(some_reads.orderBy("tid", "pos", "ord").select(*VALUES).collect())
+    assert [x[2:] for x in got] == want
+
+
+def test_lines_and_records_of_odd_reads():
+    for seq in ("", "A", "acgtN=", "ACéGTX", "ACGTMRWSYKVHDBN"):
+        row = Row(qname="q", flag=1, tid=0, pos=3, mapq=9, cigar="*", mtid=-1, mpos=-1, seq=seq, qual=bytes(range(len(seq))))
+        assert alignments.decode("x", 0, alignments.encode(row)[4:])[10:12] == ("".join(c if c in alignments.BASES else "N" for c in seq.upper()), row.qual)
+    for qual in (b"\0\x5d", b"\x5e\xff", b"\xff\xff", b"\x28\x05"):
+        row = Row(qname="q", flag=1, tid="c", pos=3, mapq=9, cigar="2M", mtid="*", mpos=-1, seq="AC", qual=qual)
+        printed = alignments.sam_line(row).decode().rstrip("\n").split("\t")[10]
+        assert printed == ("*" if qual == b"\xff\xff" else "".join(chr(q + 33) for q in qual))
+        assert printed == "*" or alignments._qualities(printed) == qual
