@@ -111,3 +111,20 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_quality_stage_uses_all_trusted_texts(spark, tmp_path, monkeypatch):
+    """The pipeline's first stage fits its model on every trusted text, 41 million characters here."""
+    docs = spark.range(80).selectExpr("id as doc_id", "repeat(md5(string(id)), 16000) as text", "'a' as lang")
+    spark.range(80).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+
+    class Seen(Exception):
+        pass
+
+    def counted(spark, trusted):
+        raise Seen(trusted.count())
+
+    monkeypatch.setattr(quality, "fold_counts", counted)
+    with pytest.raises(Seen) as seen:
+        stages.drop_low_quality(spark, docs, str(tmp_path))
+    assert seen.value.args == (80,)
