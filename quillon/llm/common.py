@@ -61,11 +61,16 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quillon/{RUN}"
 
 
+#: a shared folder on a local disk: Hadoop's default starts chmod three times for each file (its task's folder, the file, its
+#: checksum), and until it has begun chmod counts as another executor's memory; plain files have no checksum. Other stores are not concerned.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends, a lost executor loses nothing."""
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.options(**PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,23 +3,54 @@
 Union-find without shared memory: each round every vertex points to its smallest neighbour if that is
 smaller, pointers are shortened by one jump, and the links are rewritten to the pointed-to vertices.
 Links inside one vertex vanish, so the table shrinks from round to round. Everything stays in tables of
-the shared folder; the driver sees only whether links are left.
+the shared folder; the driver sees only whether links are left. Up to DRIVER_LINKS links, as many rows as a
+broadcast may have, are joined up on the driver by the same hooking and contracting, without the rounds' many small tables.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm.common import forget, materialize
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+#: links of 16 bytes that the driver takes at most
+DRIVER_LINKS = 500_000
+
+
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the links (a, b), in order, and the smallest end that each reaches."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return ends, ends[label]
+
+
+def components(spark: SparkSession, links: DataFrame, most: int = DRIVER_LINKS) -> DataFrame:
     """(node, label) for every end of links (a, b): label is the smallest node that it reaches.
 
-    Repeated links and links of a node with itself are fine; a null end is ignored; no links, no rows.
+    Repeated links and links of a node with itself are fine; a null end is ignored; no links, no rows. More than
+    most links are joined up in rounds.
     """
     both = links.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(spark, both.distinct(), "links")
+    if first.count() <= most:
+        rows = first.select(F.col("a").cast("long"), F.col("b").cast("long")).toArrow()
+        forget(spark, first)
+        node, label = smallest_reached(*(rows.column(c).to_numpy() for c in ("a", "b")))
+        found = spark.createDataFrame(pa.table({"node": node, "label": label}), "node long, label long")
+        kind = first.schema["a"].dataType
+        return materialize(spark, found.coalesce(1).select(*[F.col(c).cast(kind).alias(c) for c in ("node", "label")]), "labels")
     labels = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().select("node", F.col("node").alias("label"))
     edges, old = first.where("a < b"), [first]
     while not edges.isEmpty():

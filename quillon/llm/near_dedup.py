@@ -309,23 +309,25 @@ def _grown(spark: SparkSession, links: DataFrame | None, pairs: DataFrame, signa
 
 
 def _labelled(members: DataFrame, labels: DataFrame, again: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """members (group, node, ...) with their labels and whether each is own, and the groups to look at: those of several labels.
+    """members (node, groups, ...) once for each group, with their labels and whether each is own, and the groups to look at: those of several labels.
 
-    Own are the nodes of again, or without it those outside their group's largest label. The groups have major,
-    the largest label, and the numbers of blocks that linked_in_blocks() needs.
+    A node has one row in members, so the joins grow with the nodes and not with their groups. Own are the nodes of again,
+    or without it those outside their group's largest label. The groups have major, the largest label, and the
+    numbers of blocks that linked_in_blocks() needs.
     """
     weight = sum((F.octet_length(c) for c in ("sig", "members") if c in members.columns), F.lit(32)).cast("long")
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if again is not None:
         rows = rows.join(again.select("node", F.lit(True).alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    own = F.sum(F.when(F.col("own"), weight)) if again is not None else F.lit(0).cast("long")
-    by_label = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"), own.alias("own_bytes"))
+    rows = rows.withColumn("weight", weight).withColumn("group", F.explode("groups")).drop("groups")
+    own = F.sum(F.when(F.col("own"), F.col("weight"))) if again is not None else F.lit(0).cast("long")
+    by_label = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes"), own.alias("own_bytes"))
     largest = F.max_by(F.struct("label", "bytes"), F.struct("n", "label")).alias("major")
     groups = by_label.groupBy("group").agg(largest, F.count("*").alias("labels"), F.sum("bytes").alias("bytes"), F.sum("own_bytes").alias("own_bytes")).where("labels > 1")
     n_blocks = lambda size, name: F.ceil(size / BLOCK).cast("int").alias(name)
     own_bytes = F.col("own_bytes") if again is not None else F.col("bytes") - F.col("major.bytes")
     groups = groups.where(own_bytes > 0).select("group", F.col("major.label").alias("major"), n_blocks(F.col("bytes"), "n_all"), n_blocks(own_bytes, "n_own"))
-    return rows, groups
+    return rows.drop("weight"), groups
 
 
 def _all_linked(spark: SparkSession, links: DataFrame, labels: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -347,21 +349,23 @@ def _all_linked(spark: SparkSession, links: DataFrame, labels: DataFrame, member
 
 def _completed(spark: SparkSession, links: DataFrame, labels: DataFrame, members: DataFrame, signatures: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """labels after all likely pairs of different labels that share a bucket were verified, in clusters of likely pairs."""
-    rest = members.where("n > 2 and node <> pivot").select("bucket", "node")
-    rest = materialize(spark, rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
+    rest = members.where("n > 2 and node <> pivot").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # BANDS at most
+    rest = rest.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("buckets").alias("bucket"))
+    rest = materialize(spark, rest, "rest")
     print_of = [F.sum(F.pmod(F.xxhash64(F.lit(i), "node"), F.lit((1 << 31) - 1))).alias(f"h{i}") for i in range(3)]
     mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *print_of).where("lo < hi")
     mixed = materialize(spark, mixed.groupBy("n", "h0", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
-    rest = materialize(spark, joined(rest.drop("label"), mixed, "bucket").withColumnRenamed("bucket", "group"), "rest")
+    rest = materialize(spark, joined(rest.drop("label"), mixed, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("groups")), "rest")
     if rest.isEmpty():
         return labels
     near, cluster = _all_linked(spark, links, labels, materialize(spark, rest.join(signatures, "node"), "signed"), percent)
     if near is links:
         return labels
-    taking = rest.select("node").distinct().join(cluster.withColumnRenamed("label", "group"), "node")
+    taking = rest.select("node").join(cluster.withColumnRenamed("label", "group"), "node")
     mixed = taking.join(labels, "node", "left").groupBy("group").agg(F.min(F.coalesce("label", "node")).alias("lo"), F.max(F.coalesce("label", "node")).alias("hi")).where("lo < hi")
     taking = materialize(spark, joined(taking, materialize(spark, mixed.select("group"), "mixed"), "group"), "taking")
     sets = full_sets(spark, taking.select("node"), docs, k)
+    taking = taking.select("node", F.array("group").alias("groups"))
     return _all_linked(spark, links, labels, materialize(spark, taking.join(signatures, "node").join(sets, "node"), "with-sets"), percent)[1]
 
 

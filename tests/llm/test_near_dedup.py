@@ -1,5 +1,6 @@
 """op9 against brute force: links on exact sets, components, signatures."""
 
+import os
 import random
 import re
 
@@ -170,3 +171,38 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_joins_with_labels_grow_with_the_nodes(spark, monkeypatch):
+    """A node of many buckets is joined with its label once in a round, not once for each bucket."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(40):  # a walk: near texts are alike, far ones aren't
+        words = [w if r.random() > 0.04 else f"x{i}_{j}" for j, w in enumerate(words)]
+        docs.append((i, " ".join(words)))
+    seen = []
+    labelled = nd._labelled
+
+    def counted(members, labels, again):
+        seen.append((members.count(), members.select("node").distinct().count()))
+        return labelled(members, labels, again)
+
+    monkeypatch.setattr(nd, "_labelled", counted)
+    assert run(spark, docs, 2) == brute(docs, 2)
+    assert seen and all(rows == nodes for rows, nodes in seen)
+
+
+def test_components_on_the_driver_and_in_rounds(spark):
+    r = random.Random(4)
+    links = [(i + 1, i) for i in range(50, 90)] + [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(90)] + [(7, 7), (None, 3), (4, None), (-5, 2**62)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    here, rounds = (sorted(map(tuple, components(spark, frame, most).collect())) for most in (10**6, 0))
+    assert here == rounds and dict(here)[90] == 50 and dict(here)[2**62] == -5
+
+
+def test_stored_tables_have_no_checksum_files(spark):
+    """Each would be another chmod process of an executor."""
+    stored = nd.materialize(spark, spark.range(100).repartition(3), "plain")
+    folder = os.path.dirname(stored.inputFiles()[0].removeprefix("file://"))
+    assert stored.count() == 100 and not [f for f in os.listdir(folder) if f.endswith(".parquet.crc")]
