@@ -48,7 +48,7 @@ def _across(hulls: DataFrame, distance: int, by: tuple[str, ...]) -> DataFrame:
     own = [*by, "_bin"]
     bins = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     number = (F.col("_bin") * F.lit(1 << 32) + F.col("_local")).alias("island")
-    reach = hulls.groupBy(*own).agg(F.max("end").alias("_top")).select(*own, F.max("_top").over(bins).alias("_reach"))
+    reach = hulls.groupBy(*own).agg(F.max("_raw" if "_raw" in hulls.columns else "end").alias("_top")).select(*own, F.max("_top").over(bins).alias("_reach"))
     rows = hulls.join(reach, own).withColumn("_head", F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + F.lit(distance)))
     last = rows.groupBy(*own).agg(F.max(F.when(F.col("_head"), number)).alias("_last"))
     before = last.select(*own, F.last("_last", ignorenulls=True).over(bins).alias("_before"))
@@ -65,10 +65,12 @@ def join_hulls(hulls: DataFrame, distance: int = 0, by: tuple[str, ...] = ("tid"
 
 def merge_within(regions: DataFrame, distance: int = 0, by: tuple[str, ...] = ("tid",), bin_size: int = MERGE_BIN) -> DataFrame:
     """(by, start, end, n): clusters of regions at most distance apart, with the number of regions in each."""
-    local = local_islands(checked(regions), distance, by, bin_size)
-    hulls = local.groupBy(*by, "_bin", "_local").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    # only the branch that gives the ends checks them: where two stages fail at once, Spark reports that and not the error
+    local = checked(local_islands(regions.withColumn("_raw", F.col("end")), distance, by, bin_size))
+    hulls = local.groupBy(*by, "_bin", "_local").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("_raw").alias("_raw"), F.count("*").alias("n"))
     joined = _across(hulls, distance, by)
-    return joined.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
+    found = joined.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
+    return found.where("end is not null")  # it never is: so that the ends are checked even if only rows are counted
 
 
 def merge_regions(regions: DataFrame, by: tuple[str, ...] = ("tid",)) -> DataFrame:

@@ -47,6 +47,16 @@ def test_bad_input(spark):
         merged(spark, [(0, 5, 5)], 0)
 
 
+def test_an_empty_interval_is_one_error(spark):
+    """Each time: two stages that fail at once would be reported as such, and not as the error that both met."""
+    rows = spark.createDataFrame([(0, 1, 2), (0, 5, 5)], REGIONS)
+    for _ in range(8):
+        with pytest.raises(PySparkException, match="empty interval"):
+            iv.merge_within(rows, 0).collect()
+    with pytest.raises(PySparkException, match="empty interval"):
+        iv.merge_within(rows, 0).count()
+
+
 def test_overlap_facts(spark):
     right = spark.createDataFrame([(0, 10, 20), (0, 30, 50)], REGIONS)
     left = spark.createDataFrame([(0, 15, 25), (0, 25, 60), (0, 0, 60), (0, 60, 70), (1, 0, 60)], REGIONS)
